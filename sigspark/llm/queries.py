@@ -20,6 +20,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(_read(spark, sf_dir, "documents")).drop("n_repeats")
+
+
+def op2_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
+def op3_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import read_back, windows
 
@@ -61,7 +79,13 @@ def op9_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(_read(spark, sf_dir, "documents"), ShardTree.uniform(2, 3, 4))
 
 
-_ALL = [op4_chat_windows, op5_line_frequency, op6_curriculum_mix, op7_bloom_dedup, op8_token_counts, op9_hash_tree]
+def op10_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+_ALL = [op1_suffix_trees, op2_minhash_join, op3_kernel_toxicity, op4_chat_windows, op5_line_frequency, op6_curriculum_mix, op7_bloom_dedup, op8_token_counts, op9_hash_tree, op10_bm25_packing]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -95,7 +119,31 @@ select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha as text_sha256
 """
 
 
+OP1_SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, i, sha256(array_to_string(list_slice(w, i, i + 12), ' ')) as h from (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as i from d where len(w) >= 13)),
+m as (select *, min(doc_id) over (partition by h) as least from g),
+c as (select distinct doc_id, i + k as i from m, generate_series(0, 12) as s(k) where least < doc_id),
+k as (select d.doc_id, len(w) as n, w, (select count(*) from c where c.doc_id = d.doc_id) as gone from d),
+p as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as i from d),
+t as (select p.doc_id, string_agg(p.word, ' ' order by p.i) as kept from p left join c on c.doc_id = p.doc_id and c.i = p.i where c.i is null group by p.doc_id)
+select k.doc_id, k.n::BIGINT as n_words, k.gone::BIGINT as n_removed, sha256(coalesce(t.kept, '')) as kept_sha256 from k left join t on t.doc_id = k.doc_id
+"""
+
+OP2_SQL = r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as g from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as common from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * common >= 85 * (a.n + b.n - common)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, e.y from r join e on r.b = e.x)
+select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, c.least as component_id, d.doc_id = c.least as kept
+from d left join n on n.doc_id = d.doc_id join (select a, min(b) as least from r group by a) c on c.a = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_curriculum_mix": OP6_SQL, "op7_bloom_dedup": OP7_SQL}
+    return {"op1_suffix_trees": OP1_SQL, "op2_minhash_join": OP2_SQL, "op6_curriculum_mix": OP6_SQL, "op7_bloom_dedup": OP7_SQL}
 
 
