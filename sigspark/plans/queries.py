@@ -493,11 +493,11 @@ def rng01_range(spark, d):
     return _table(spark, d, "customer").select("c_custkey").where(r.holds(F.col("c_custkey"))).select(r.checked(F.col("c_custkey"), "key").alias("c_custkey"))
 
 
-@query("""select user_id, list(event_id order by event_id) as ids from events where event_id < 300 group by user_id""")
+@query("""select user_id, string_agg(event_id::VARCHAR, ',' order by event_id) as ids from events where event_id < 300 group by user_id""")
 def vew02_array_view(spark, d):
     v = View(lambda c: c + 1, lambda c: c - 1).array()
     e = _events(spark, d, "event_id", "user_id").where("event_id < 300").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return e.select("user_id", v.to_logical(v.to_physical(F.col("ids"))).alias("ids"))
+    return e.select("user_id", F.array_join(v.to_logical(v.to_physical(F.col("ids"))), ",").alias("ids"))
 
 
 @query("""select hash_id, event_type from (select distinct event_type, dense_rank() over (order by event_type)::BIGINT as hash_id from events)""")
