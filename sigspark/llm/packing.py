@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import ChunkCache, split
-from .textnp import slices, words_of
+from .textnp import U, slices, words_of
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 2048, 16 << 20
@@ -34,38 +34,35 @@ class Index:
     """BM25 over the documents of a shard; words that only one document has can't find another and are left out."""
 
     def __init__(self, texts: pa.Array, k1: float = K1, b: float = B):
-        terms, owners, sizes = [], [], []
+        self.n = len(texts)
+        # One sort of (word, document): words keep the bits that the document's number leaves.
+        bits = U(max(1, self.n.bit_length()))
+        keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for at, to, data, offsets in slices(texts):
             w = words_of(data, offsets, lower=True)
             n = np.diff(w.first)
             sizes.append(n)
-            terms.append(w.hashes)
-            owners.append(np.repeat(np.arange(at, to), n))
-        self.n = len(texts)
-        empty = np.zeros(0, np.int64)
-        term, owner = (np.concatenate(x) if x else empty for x in (terms, owners))
-        size = np.concatenate(sizes) if sizes else empty
-        order = np.lexsort((owner, term))
-        term, owner = term[order], owner[order]
-        new = np.ones(len(term), bool)
-        new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
-        at = np.flatnonzero(new)
-        tf = np.diff(np.append(at, len(term)))
-        term, owner = term[at], owner[at]
-        first = np.ones(len(term), bool)
-        first[1:] = term[1:] != term[:-1]
-        begin = np.flatnonzero(first)
-        df = np.diff(np.append(begin, len(term)))
-        idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        shared = np.repeat(df > 1, df)
+            keys.append((w.hashes >> bits << bits) | np.repeat(np.arange(at, to, dtype=np.uint64), n))
+        size, key = np.concatenate(sizes), np.sort(np.concatenate(keys))
+        at = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        tf = np.diff(np.append(at, len(key)))
+        key = key[at]
+        same = (key[1:] >> bits) == (key[:-1] >> bits)
+        shared = np.zeros(len(key), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        key, tf = key[shared], tf[shared]
+        term, owner = key >> bits, (key & ((U(1) << bits) - U(1))).astype(np.int64)
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), term[1:] != term[:-1])))
+        df = np.diff(np.append(first, len(term)))
+        self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
         mean = max(1.0, float(size.mean())) if len(size) else 1.0
-        weight = (np.repeat(idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean)))[shared] if len(term) else np.zeros(0)
-        self.docs, self.weights = owner[shared], weight
-        self.begin = np.concatenate(([0], np.cumsum(df[df > 1])))
-        entry = np.repeat(np.arange(len(self.begin) - 1), df[df > 1])
-        by_doc = np.lexsort((-weight, self.docs))
+        weight = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
+        self.docs, self.weights = owner, weight
+        self.begin = np.append(first, len(term))
+        entry = np.repeat(np.arange(len(df)), df)
+        by_doc = np.argsort(self.docs * np.float32(64) - weight, kind="stable")
         self.entry = entry[by_doc]
-        self.idf = idf[df > 1]
         self.doc_begin = np.searchsorted(self.docs[by_doc], np.arange(self.n + 1))
 
     def neighbours(self, doc: int, unused: np.ndarray, most: int = QUERY_TERMS) -> np.ndarray:

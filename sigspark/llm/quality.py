@@ -61,8 +61,10 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[0-9]", "0"), BLANK, " "))
+def line_hashes(text: Column) -> Column:
+    """Hash of each normalised line; null for lines without a word. The whole text is normalised before it is cut."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.transform(F.split(plain, "\n"), lambda x: _let(F.trim(x), lambda t: F.when(t != "", F.xxhash64(t))))
 
 
 def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, fraction: float) -> DataFrame:
@@ -70,10 +72,10 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, l
     t = F.coalesce(F.col(text_col), F.lit(""))
     per_host = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"))
     sizes = per_host.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    # explode_outer: explode would have Catalyst evaluate the array a second and third time, in a filter for empty arrays.
     pairs = docs.select(
-        F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"),
-        F.explode(F.array_distinct(F.transform(F.filter(F.transform(F.split(t, "\n"), normal_line), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("line"),
-    ).distinct()
+        F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), F.explode_outer(F.array_distinct(line_hashes(t))).alias("line")
+    ).where("line is not null").distinct()
     seen = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
     s = sizes.withColumnRenamed("host", "s_host")
     return seen.join(s, seen["host"].eqNullSafe(s["s_host"])).where(F.col("n") > F.col("host_docs") * fraction).select("host", "line")
@@ -103,7 +105,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     counts = {f"__{k}" if carry else k: v for k, v in base(F.col(text_col)).items()}
     p = "__" if carry else ""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stay = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("__gone"), F.xxhash64(normal_line(x)))), "\n")
+    stay = _let(line_hashes(text), lambda h: F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col("__gone"), F.get(h, i)), F.lit(False))), "\n"))
     keep = [docs[c] for c in docs.columns] if carry else [F.col(id_col)]
     out = rows.select(*keep, *[v.alias(k) for k, v in counts.items()], *([F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(stay).alias("__text")] if carry else []), F.when(F.col("__gone").isNull(), F.lit(None)).otherwise(F.regexp_count(stay, F.lit(WORD))).cast("long").alias(f"{p}left"))
     n, left = F.col(f"{p}n_words"), F.coalesce(F.col(f"{p}left"), F.col(f"{p}n_words"))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,12 +49,10 @@ def frequent(docs: DataFrame, text_col: str = "text", most: int = TIER_ONE, per_
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for each row."""
     top = frequent(docs, text_col)
-    _, counts = encode_chunks(path, top)
-    table = docs.sparkSession.sparkContext.broadcast((b" ".join(top), counts.astype("uint16").tobytes()))
+    counts = np.array([len(x) // 4 for x in encode_chunks(path, top)], np.uint16)
+    table = docs.sparkSession.sparkContext.broadcast((b" ".join(top), counts.tobytes()))
 
     def count(batches):
-        import numpy as np
-
         key = (path, hash(table.value))
         if key not in _caches:
             _caches.clear()
