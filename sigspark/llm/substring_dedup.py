@@ -2,7 +2,7 @@
 
 Every word position starts a suffix. Suffixes are dealt to memory-sized groups by a prefix of 1, 2, 4, 8 or all
 ``window`` words: the shortest whose count, over all documents, fits a group. Counts come from a sketch of fixed size
-(``LEVELS`` x ``CELLS``, so what reaches the driver and the workers never grows) that can only overstate, which
+(levels x ``CELLS``, so what reaches the driver and the workers never grows) that can only overstate, which
 lengthens a prefix and changes no result. A group's subtree is cut at depth ``window``: it is the sorted array of its
 suffixes' window hashes, its internal nodes at that depth are the runs of equal hashes, and runs of deep nodes at
 consecutive positions are the maximal repeats. Suffixes travel in bulk: one row for a group and about ``FLUSH`` bytes
@@ -51,8 +51,9 @@ def _deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1] * 0)
 
 
-def _prefixes(hashes: np.ndarray, n: int) -> list[np.ndarray]:
-    return [window_hashes(hashes, p)[:n] for p in LEVELS]
+def levels_of(window: int) -> tuple[int, ...]:
+    """Prefix lengths shorter than the window; the window itself if there are none."""
+    return tuple(p for p in LEVELS if p < window) or (window,)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -60,31 +61,32 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def prefix_counts(docs: DataFrame, text_col: str, window: int) -> np.ndarray:
-    """Sketch of prefix counts over all windows of all documents: len(LEVELS) x CELLS."""
+    """Sketch of prefix counts over all windows of all documents: number of levels x CELLS."""
+    levels = levels_of(window)
 
     def count(batches):
-        total = np.zeros((len(LEVELS), CELLS), np.int64)
+        total = np.zeros((len(levels), CELLS), np.int64)
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 w = words_of(data, offsets)
                 at = np.flatnonzero(window_starts(w.first, window))
                 if len(at):
-                    for k, p in enumerate(_prefixes(w.hashes, int(at[-1]) + 1)):
-                        total[k] += np.bincount((p[at] >> U(50)).astype(np.int64), minlength=CELLS)
+                    for k, p in enumerate(levels):
+                        total[k] += np.bincount((window_hashes(w.hashes, p)[at] >> U(50)).astype(np.int64), minlength=CELLS)
         flat = total.ravel()
         cells = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(flat[cells])], ["cell", "n"])
 
-    out = np.zeros(len(LEVELS) * CELLS, np.int64)
+    out = np.zeros(len(levels) * CELLS, np.int64)
     rows = docs.select(text_col).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     for r in rows.collect():
         out[r.cell] = r.n
-    return out.reshape(len(LEVELS), CELLS)
+    return out.reshape(len(levels), CELLS)
 
 
 def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, parts: int | None = None) -> tuple[DataFrame, int]:
     """(part, ids, at): the windows of (id, uid, text) that also start in a document with a smaller id, in bulk by part = uid mod parts."""
-    spark = docs.sparkSession
+    spark, levels = docs.sparkSession, levels_of(window)
     sketch = prefix_counts(docs, "text", window)
     n = int(sketch[0].sum())
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -120,13 +122,12 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, p
                 w = words_of(data, offsets)
                 at = np.flatnonzero(window_starts(w.first, window))
                 if len(at):
-                    m = int(at[-1]) + 1
                     h = window_hashes(w.hashes, window)[at]
                     key = mix(h ^ U(0xA5A5A5A5A5A5A5A5))
-                    for k in range(len(LEVELS) - 1, -1, -1):
-                        p = window_hashes(w.hashes, LEVELS[k])[:m][at]
+                    for k in range(len(levels) - 1, -1, -1):
+                        p = window_hashes(w.hashes, levels[k])[at]
                         ok = fits.value[k][(p >> U(50)).astype(np.int64)]
-                        key = np.where(ok, mix(p + U(LEVELS[k])), key)
+                        key = np.where(ok, mix(p + U(levels[k])), key)
                     has = np.flatnonzero(np.diff(w.first) >= window)
                     held.append((h, at + words, key, w.first[has] + words, ids[a:z][has], uids[a:z][has]))
                     words += int(w.first[-1])

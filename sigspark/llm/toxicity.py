@@ -258,7 +258,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    rows = docs.join(F.broadcast(picked), docs[id_col] == picked["l_id"]).select("l_id", "y", F.coalesce(F.col(text_col), F.lit("")).alias("t")).dropDuplicates(["l_id"])
+    texts = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = texts.join(F.broadcast(picked), texts["d_id"] == picked["l_id"]).select("l_id", "y", "t").dropDuplicates(["l_id"])
     got = sorted(rows.collect(), key=lambda r: r.l_id)
     return [r.t for r in got], [int(r.y) for r in got]
 

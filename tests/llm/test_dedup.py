@@ -58,7 +58,7 @@ def test_substring_odd_and_empty(odd, nothing):
 
 
 def test_spans():
-    assert spans_of(np.array([3, 4, 5, 20, 33, 60]), 13).tolist() == [[3, 46], [60, 73]]
+    assert spans_of(np.array([3, 4, 5, 20, 33, 60]), 13).tolist() == [[3, 18], [20, 46], [60, 73]]
     assert spans_of(np.array([], np.int64), 13).tolist() == []
 
 
