@@ -11,7 +11,7 @@ documents start as positives, then each label-1 document's best word does, in ro
 documents as negatives. Landmarks are positives and negatives; features are k(x, L) K_LL^-1/2; a squared-hinge linear
 machine is fitted on them. As k is an inner product over character triples, the machine's sum over landmarks folds into
 one weight per triple, exactly, and that table (1 MB) is broadcast. A document's score is a logistic function, fitted
-on the training rows, of its best word's value.
+on the training rows, of the values of its ``BEST`` best different words: a single word may look like an insult by chance.
 
 Defined results: a null or blank text scores as the lowest value; without rows of both labels every score is 0; labels
 of null and rows whose id has no document teach nothing; rows repeat as given; an empty table gives an empty result.
@@ -34,7 +34,8 @@ PIECE, STEP = 24, 12
 MOST = 2000
 LANDMARKS = 192
 ROUNDS = 5
-LOWEST = -2.0
+BEST, LOWEST, HIGHEST = 3, -2.0, 1.5
+SURE = 8.0
 
 MARK = 27
 SYMBOL = np.full(256, MARK, np.int64)
@@ -96,25 +97,32 @@ def values(table: np.ndarray, symbols: np.ndarray, begins: np.ndarray) -> np.nda
 class Model:
     table: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
     def probability(self, best: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(np.minimum(best, HIGHEST) @ self.slopes + self.shift, -40, 40)))
 
 
 def best_words(table: np.ndarray, bias: float, column: pa.Array):
-    """Value of the best word of each row; LOWEST without words."""
+    """Values of the BEST best different words of each row, in falling order; LOWEST where there are fewer."""
     for at, to, data, offsets in slices(column):
-        out = np.full(to - at, LOWEST)
+        out = np.full((to - at, BEST), LOWEST)
         w = words_of(data, offsets, lower=True)
         if len(w.starts):
             _, first, back = np.unique(w.hashes, return_index=True, return_inverse=True)
             s, e, word = pieces(w.starts[first], w.ends[first])
             value = np.full(len(first), -np.inf)
             np.maximum.at(value, word, values(table, *gathered(w.data, s, e)))
-            has = np.flatnonzero(np.diff(w.first))
-            out[has] = np.maximum(LOWEST, np.maximum.reduceat(value[back], w.first[:-1][has]) + bias)
+            value += bias
+            found = np.flatnonzero(value[back] > LOWEST)
+            doc = np.searchsorted(w.first, found, "right") - 1
+            pair = np.unique(doc * len(first) + back[found])
+            doc, v = pair // len(first), value[pair % len(first)]
+            order = np.lexsort((-v, doc))
+            doc, v = doc[order], v[order]
+            rank = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+            out[doc[rank < BEST], rank[rank < BEST]] = v[rank < BEST]
         yield out
 
 
@@ -176,15 +184,16 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
     seen, other = Counter(w for b in yes for w in b), Counter(w for b in no for w in b)
     # Labels may err, so a word of label-0 documents may still be a positive, if it is far rarer there.
     telling = {w for w, n in seen.items() if len(w) > 2 and n * len(no) >= 12 * (other[w] + 0.2) * len(yes)}
-    clean = {w for w in other if w not in telling}
     rank = lambda w: (-seen[w], w)
-    least = max(3, len(yes) // 50)
-    positive = sorted((w for w in telling if seen[w] >= least), key=rank)[: 8 * landmarks] or sorted(telling, key=rank)[:landmarks]
+    core = {w for w in telling if surprise(seen[w], other[w], len(yes) / len(bags)) >= SURE}
+    clean = {w for w in other if w not in telling or seen[w] < 3}
+    positive = sorted(core or telling, key=rank)[: 8 * landmarks if core else landmarks]
     if not positive:
         return None
     negatives = sorted(clean, key=lambda w: (hash_of(w), w))
     pool = _Pool(negatives)
-    inside = [_Pool(sorted(w for w in b if w in telling)) for b in yes]
+    # A document with a frequent positive is explained by it; in others a rare word may be an altered insult.
+    inside = [_Pool(sorted(b & core or b & telling)) for b in yes]
     marks = [*positive[: landmarks // 2], *negatives[: landmarks - min(len(positive), landmarks // 2)]]
     k = kernel(marks, marks)
     value, vector = np.linalg.eigh((k + k.T) / 2)
@@ -207,9 +216,13 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         hard = list(dict.fromkeys([*hard, *pool.best(table, 4 * landmarks)]))
         chosen = {w for p in inside for w in p.best(table, 1, 0.3 - bias)}
         positive = sorted({*chosen, *positive[: landmarks // 2]}, key=rank)[: 8 * landmarks]
-    best = np.concatenate(list(best_words(table, bias, pa.array(texts, pa.large_string()))))
-    slope, shift = _logistic(best, np.array(toxic, float))
-    return Model(table.astype(np.float32), bias, slope, shift)
+    best = np.concatenate([*best_words(table, bias, pa.array(texts, pa.large_string()))])
+    return Model(table.astype(np.float32), bias, *_logistic(np.minimum(best, HIGHEST), np.array(toxic, float)))
+
+
+def surprise(n: int, m: int, share: float) -> float:
+    """Log likelihood ratio of n label-1 and m label-0 documents against the share of label-1 documents."""
+    return n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0.0)
 
 
 def hash_of(word: bytes) -> int:
@@ -235,16 +248,17 @@ class _Pool:
         return [self.words[i] for i in np.argpartition(-v, n - 1)[:n].tolist() if v[i] >= least]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a ridge-held logistic fit."""
-    z, w = np.stack((x, np.ones(len(x))), 1), np.zeros(2)
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Slopes and shift of a ridge-held logistic fit."""
+    z = np.hstack((x, np.ones((len(x), 1))))
+    w, ridge = np.zeros(z.shape[1]), 1e-2 * np.eye(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + 1e-2 * np.eye(2), z.T @ (y - p) - 1e-2 * w)
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (y - p) - ridge @ w)
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w[:-1], float(w[-1])
 
 
 def held_out(id_column: Column) -> Column:
@@ -274,7 +288,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             if m is None:
                 s = np.zeros(b.num_rows)
             else:
-                s = m.probability(np.concatenate(list(best_words(m.table, m.bias, b.column(1))) or [np.zeros(0)]))
+                s = m.probability(np.concatenate([np.zeros((0, BEST)), *best_words(m.table, m.bias, b.column(1))]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
