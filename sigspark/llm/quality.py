@@ -72,10 +72,10 @@ def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, l
     t = F.coalesce(F.col(text_col), F.lit(""))
     per_host = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"))
     sizes = per_host.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    # explode_outer: explode would have Catalyst evaluate the array a second and third time, in a filter for empty arrays.
-    pairs = docs.select(
-        F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), F.explode_outer(F.array_distinct(line_hashes(t))).alias("line")
-    ).where("line is not null").distinct()
+    # Both hashes come before the explode, or the text goes along with each of its lines and is hashed for each. explode_outer:
+    # explode would have Catalyst evaluate the array a second and third time, in a filter for empty arrays.
+    hashed = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), F.array_distinct(line_hashes(t)).alias("lines"))
+    pairs = hashed.select("host", "doc", F.explode_outer("lines").alias("line")).where("line is not null").distinct()
     seen = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
     s = sizes.withColumnRenamed("host", "s_host")
     return seen.join(s, seen["host"].eqNullSafe(s["s_host"])).where(F.col("n") > F.col("host_docs") * fraction).select("host", "line")
