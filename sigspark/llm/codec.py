@@ -106,24 +106,31 @@ class ChunkCache:
         self.known = dict(self.first)
         self.marks: dict = {}
 
-    def fill(self, words) -> None:
-        """Encode what of these chunks isn't known. No object here is part of a cycle, so the collector rests meanwhile."""
+    def values(self, rows: list[list[bytes]]) -> list[list]:
+        """The value of each chunk of each row. No object here is part of a cycle, so the collector rests meanwhile."""
         was = gc.isenabled()
         gc.disable()
         try:
-            self._fill(words)
+            found = [[*map(self.known.get, r)] for r in rows]
+            gaps = [[i for i, x in enumerate(v) if x is None] for v in found]
+            self._fill({r[i] for r, g in zip(rows, gaps) for i in g}, rows)
+            for r, v, g in zip(rows, found, gaps):
+                for i in g:
+                    v[i] = self.known[r[i]]
+            return found
         finally:
             if was:
                 gc.enable()
 
-    def _fill(self, words) -> None:
-        missing = list(set(words).difference(self.known))
+    def _fill(self, words: set[bytes], rows: list[list[bytes]]) -> None:
+        """Encode these chunks, none of them known."""
+        missing = list(words)
         if not missing:
             return
         if len(self.known) + len(missing) > self.most:
             # The chunks in use now stay: common ones are among them.
             known, self.known = self.known, dict(self.first)
-            self.known.update((w, known[w]) for w in set(words).difference(missing))
+            self.known.update((w, known[w]) for r in rows for w in r if w in known)
         if _plain(self.path) is not None:
             missing = self._marked(missing)
         for at in range(0, len(missing), 20_000):

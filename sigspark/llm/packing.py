@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import ChunkCache, split
-from .textnp import U, slices, words_of
+from .textnp import U, Words, slices, words_of
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 2048, 16 << 20
@@ -33,16 +33,16 @@ _caches: dict[str, ChunkCache] = {}
 class Index:
     """BM25 over the documents of a shard; words that only one document has can't find another and are left out."""
 
-    def __init__(self, texts: pa.Array, k1: float = K1, b: float = B):
-        self.n = len(texts)
+    def __init__(self, parts: list[Words], k1: float = K1, b: float = B):
+        self.n = sum(len(w.first) - 1 for w in parts)
         # One sort of (word, document): words keep the bits that the document's number leaves.
         bits = U(max(1, self.n.bit_length()))
-        keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for at, to, data, offsets in slices(texts):
-            w = words_of(data, offsets, lower=True)
+        keys, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+        for w in parts:
             n = np.diff(w.first)
             sizes.append(n)
-            keys.append((w.hashes >> bits << bits) | np.repeat(np.arange(at, to, dtype=np.uint64), n))
+            keys.append((w.hashes >> bits << bits) | np.repeat(np.arange(at, at + len(n), dtype=np.uint64), n))
+            at += len(n)
         size, key = np.concatenate(sizes), np.sort(np.concatenate(keys))
         at = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
         tf = np.diff(np.append(at, len(key)))
@@ -60,10 +60,12 @@ class Index:
         weight = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
         self.docs, self.weights = owner, weight
         self.begin = np.append(first, len(term))
-        entry = np.repeat(np.arange(len(df)), df)
-        by_doc = np.argsort(self.docs * np.float32(64) - weight, kind="stable")
-        self.entry = entry[by_doc]
-        self.doc_begin = np.searchsorted(self.docs[by_doc], np.arange(self.n + 1))
+        # A document's words by falling weight: one sort of (document, rank of the weight, word).
+        space = U(max(1, len(df).bit_length()))
+        heavy = U(1023) - np.minimum(1023, weight * 48).astype(np.uint64)
+        by_doc = np.sort((((owner.astype(np.uint64) << U(10)) | heavy) << space) | np.repeat(np.arange(len(df), dtype=np.uint64), df))
+        self.entry = (by_doc & ((U(1) << space) - U(1))).astype(np.int64)
+        self.doc_begin = np.searchsorted(by_doc >> (space + U(10)), np.arange(self.n + 1, dtype=np.uint64))
 
     def neighbours(self, doc: int, unused: np.ndarray, most: int = QUERY_TERMS) -> np.ndarray:
         """Unused documents that share a query word, best first."""
@@ -73,7 +75,41 @@ class Index:
             score[self.docs[a:b]] += self.idf[e] * self.weights[a:b]
         score *= unused
         found = np.flatnonzero(score)
-        return found[np.lexsort((found, -score[found]))]
+        return found[np.argsort(-score[found], kind="stable")]
+
+
+def words_in(texts: pa.Array) -> list[Words]:
+    """Lower-case words of these texts, in parts of bounded size."""
+    return [words_of(data, offsets, lower=True) for _, _, data, offsets in slices(texts, SHARD_BYTES)]
+
+
+def ids_of(w: Words, raw: pa.Array, cache: ChunkCache, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of a part's texts end to end, each with the end id, and where each begins (one more).
+
+    Each different word of the part is looked up once; equal 64-bit hashes within a part are taken for equal words.
+    """
+    order = np.argsort(w.hashes)
+    h = w.hashes[order]
+    new = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
+    word = np.empty(len(h), np.int64)
+    word[order] = np.cumsum(new) - 1
+    some, text = order[new], w.data.tobytes()
+    values = [*cache.values([[text[a:b] for a, b in zip(w.starts[some].tolist(), w.ends[some].tolist())]])[0], end]
+    ends_at = w.first[1:]
+    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    word = np.insert(word, ends_at, len(values) - 1)
+    begin = np.cumsum(size) - size
+    took = size[word]
+    upto = np.cumsum(took)
+    flat = np.frombuffer(b"".join(values), "<u4")[np.repeat(begin[word] - upto + took, took) + np.arange(upto[-1] if len(upto) else 0)]
+    offsets = np.concatenate(([0], upto))[np.concatenate(([0], ends_at + np.arange(1, len(ends_at) + 1)))]
+    if b"|>" in text:  # such texts keep their case, or they could turn into special strings
+        rows = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        for i, t in enumerate(raw):
+            if b"|>" in (t := t.as_buffer().to_pybytes()):
+                rows[i] = np.frombuffer(b"".join(cache.values([split(t)])[0]) + end, "<u4")
+        flat, offsets = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    return flat, offsets
 
 
 def order_of(index: Index, lengths: list[int], window: int) -> list[int]:
@@ -108,24 +144,21 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
         texts = table.column("text").cast(pa.large_string()).fill_null("").combine_chunks()
         cache = _caches.setdefault(path, ChunkCache(path, as_ids=True))
-        ids: list[bytes] = []
-        raw = texts.cast(pa.large_binary())
-        for at in range(0, len(raw), 200):
-            rows = [split(t.as_buffer().to_pybytes()) for t in raw[at : at + 200]]
-            cache.fill(set().union(*rows))
-            get = cache.known.__getitem__
-            ids += [b"".join(map(get, r)) + end for r in rows]
-        lengths = [len(x) // 4 for x in ids]
+        parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
+        for w in parts:
+            flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end)
+            ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+        lengths = [len(x) for x in ids]
         doc, start, length, crc, sequence, offset = [], [], [], [], [], []
         at = 0
-        for d in order_of(Index(texts), lengths, window):
+        for d in order_of(Index(parts), lengths, window):
             done, own = 0, ids[d]
             while done < lengths[d]:
                 take = min(window - at % window, lengths[d] - done)
                 doc.append(d)
                 start.append(done)
                 length.append(take)
-                crc.append(zlib.crc32(own[4 * done : 4 * (done + take)]))
+                crc.append(zlib.crc32(own[done : done + take]))
                 sequence.append((shard << 32) | (at // window))
                 offset.append(at % window)
                 done, at = done + take, at + take

@@ -21,7 +21,9 @@ _rng = np.random.Generator(np.random.PCG64(0x5EED))
 BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
-CHUNK = 1 << 21
+#: Bytes or words that are hashed at a time: small enough for a processor's cache.
+CHUNK = 1 << 17
+SLICE = 1 << 20
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -32,7 +34,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
         out[0] = 1
         had = np.cumprod(out)
-        if size <= 4 * CHUNK:
+        if size <= 1 << 23:
             _tables[base] = had
     return had[:n]
 
@@ -58,7 +60,7 @@ class Words:
     hashes: np.ndarray | None = None
 
 
-def slices(column: pa.Array, most: int = 2 * CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(row from, row to, bytes, offsets) over runs of rows of about ``most`` bytes; a longer row is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -63,10 +63,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             tokens: list[int] = []
             for at in range(0, len(texts), 200):
                 rows = [split(t) for t in texts[at : at + 200]]
-                words = set().union(*rows)
-                cache.fill(words)
-                get = cache.known.__getitem__
-                tokens += [sum(map(get, r)) for r in rows]
+                tokens += map(sum, cache.values(rows))
             n = pa.array(tokens, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), n, pa.array([t > limit for t in tokens])], ["id", "n_bytes", "n_tokens", "over_limit"])
 

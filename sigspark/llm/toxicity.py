@@ -106,7 +106,7 @@ class Model:
 
 def best_words(table: np.ndarray, bias: float, column: pa.Array):
     """Values of the BEST best different words of each row, in falling order; LOWEST where there are fewer."""
-    for at, to, data, offsets in slices(column):
+    for at, to, data, offsets in slices(column, 1 << 22):
         out = np.full((to - at, BEST), LOWEST)
         w = words_of(data, offsets, lower=True)
         if len(w.starts):

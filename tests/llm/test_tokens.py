@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 from sigspark.llm.codec import ChunkCache, split, tokenizer  # noqa: E402
-from sigspark.llm.packing import Index, order_of, pack  # noqa: E402
+from sigspark.llm.packing import Index, order_of, pack, words_in  # noqa: E402
 from sigspark.llm.queries import tokenizer_path  # noqa: E402
 from sigspark.llm.token_counts import token_counts  # noqa: E402
 from sigspark.llm.toxicity import best_words, held_out, toxicity, train  # noqa: E402
@@ -31,8 +31,7 @@ def ids_of(text):
 def test_chunks_equal_whole_text(text):
     c = ChunkCache(PATH, as_ids=True)
     chunks = split(text.encode())
-    c.fill(chunks)
-    assert b"".join(c.known[w] for w in chunks) == np.array(ids_of(text), "<u4").tobytes()
+    assert b"".join(c.values([chunks])[0]) == np.array(ids_of(text), "<u4").tobytes()
 
 
 @pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|ENDOFTEXT|> <|endoftext|>", "it's I'LL don't we'd've", "word., w..! ?!,", "ª º µ ŉ ſ K ǅ", "日本語 12a3,4 ...,,", "é. é. ́ x"])
@@ -43,7 +42,7 @@ def test_known_difficult_texts(text):
 def test_cache_stays_bounded():
     c = ChunkCache(PATH, {b"the": 1}, most=100)
     for k in range(20):
-        c.fill([b"w%d" % i for i in range(k * 30, k * 30 + 30)])
+        assert None not in c.values([[b"w%d" % i for i in range(k * 30, k * 30 + 30)]])[0]
         assert len(c.known) <= 131 and c.known[b"the"] == 1
 
 
@@ -92,7 +91,7 @@ def test_retrieval_follows_topics():
     topics = [[f"t{k}x{i}" for i in range(40)] for k in range(4)]
     common = [f"c{i}" for i in range(30)]
     texts = [" ".join(r.choice(topics[i % 4]) if r.random() < 0.4 else r.choice(common) for _ in range(60)) for i in range(40)]
-    index = Index(pa.array(texts))
+    index = Index(words_in(pa.array(texts)))
     order = order_of(index, [60] * 40, 100_000)
     assert sorted(order) == list(range(40))
     same = sum(a % 4 == b % 4 for a, b in zip(order[:10], order[1:10]))
