@@ -18,7 +18,7 @@ _CODES = {"b": "tinyint", "B": "smallint", "h": "smallint", "H": "int", "i": "in
 
 
 def _listed(spark: SparkSession, path: str) -> list[str]:
-    """The files of a source, by name."""
+    """The files of a source, by name; markers such as _SUCCESS are none."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at):
@@ -27,18 +27,21 @@ def _listed(spark: SparkSession, path: str) -> list[str]:
         return [path]
     out = []
     for s in fs.listStatus(at):
+        if s.getPath().getName().startswith(("_", ".")):
+            continue
         if s.isDirectory():
             raise IsADirectoryError(s.getPath().toString())
         out.append(s.getPath().toString())
     return sorted(out)
 
 
-def _numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with _seq: counts of (file, part) before, and places inside."""
-    per = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
-    base = per.select(F.col("_file").alias("_f"), (F.sum("n").over(Window.orderBy("_file")) - F.col("n")).alias("_base"))
-    inner = F.row_number().over(Window.partitionBy("_file").orderBy(*order)) - 1
-    return rows.withColumn("_in", inner).join(F.broadcast(base), F.col("_file") == F.col("_f")).withColumn(SEQ, (F.col("_base") + F.col("_in")).cast("long")).drop("_in", "_f", "_base")
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with _seq: counts of the pieces (file, block) before, and places inside, so that no task needs a whole file."""
+    per = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("n"))
+    base = per.select(F.col("_file").alias("_f"), F.col("_block").alias("_b"), (F.sum("n").over(Window.orderBy("_file", "_block")) - F.col("n")).alias("_base"))
+    inner = F.row_number().over(Window.partitionBy("_file", "_block").orderBy(order)) - 1
+    numbered = rows.withColumn("_in", inner).join(base, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    return numbered.withColumn(SEQ, (F.col("_base") + F.col("_in")).cast("long")).drop("_in", "_f", "_b", "_base", "_file", "_block")
 
 
 def text_source(spark: SparkSession, path: str, translate: Callable[..., dict[str, Column]], keep: Callable[..., Column] | None = None, params: tuple = (), line_sep: str | None = None) -> DataFrame:
@@ -50,7 +53,7 @@ def text_source(spark: SparkSession, path: str, translate: Callable[..., dict[st
     reader = spark.read
     lines = (reader.text(files, lineSep=line_sep) if line_sep else reader.text(files)).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_id"))
     lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
-    lines = _numbered(lines, ["_block", "_id"])
+    lines = _numbered(lines, "_id")
     fields = translate(F.col("value"), *params)
     rows = lines.select(SEQ, "value", *[c.alias(n) for n, c in fields.items()])
     rows = rows.where(keep(F.col("value"), *params)) if keep else rows.dropna(subset=list(fields))
@@ -60,10 +63,10 @@ def text_source(spark: SparkSession, path: str, translate: Callable[..., dict[st
 def binary_source(spark: SparkSession, path: str, layout: str, names: list[str], keep: Callable[[DataFrame], Column] | None = None, chunk: int = 1 << 16) -> DataFrame:
     """Fixed-width records by a struct layout such as ``<iiq``; a file whose size is no multiple of the record is an error."""
     width, codes = _struct.calcsize(layout), re_codes(layout)
-    schema = ", ".join(f"{n} {_CODES[c]}" for n, c in zip(names, codes, strict=True)) + ", _file string, _at bigint"
+    schema = ", ".join(f"{n} {_CODES[c]}" for n, c in zip(names, codes, strict=True)) + ", _file string, _block bigint, _at bigint"
     files = _listed(spark, path)
     if not files:
-        return spark.createDataFrame([], schema).drop("_file", "_at").withColumn(SEQ, F.lit(0).cast("long"))
+        return spark.createDataFrame([], schema).drop("_file", "_block", "_at").withColumn(SEQ, F.lit(0).cast("long"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -74,11 +77,12 @@ def binary_source(spark: SparkSession, path: str, layout: str, names: list[str],
                     rows = list(_struct.iter_unpack(layout, content[at : at + width * chunk]))
                     out = pd.DataFrame(rows, columns=names)
                     out["_file"] = name
+                    out["_block"] = at
                     out["_at"] = range(at // width, at // width + len(rows))
                     yield out
 
     rows = spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(read, schema)
-    rows = _numbered(rows, ["_at"]).drop("_file", "_at")
+    rows = _numbered(rows, "_at").drop("_at")
     return rows.where(keep(rows)) if keep else rows
 
 
