@@ -142,7 +142,8 @@ def link_edges(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, per
     posts = reps.where("n_shingles > 0").select("id", F.explode(F.slice("posts", 1, prefix)).alias("key"))
     lists = posts.groupBy(F.col("key").alias("l_key")).agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     work = stage(posts.join(lists, posts["key"] == lists["l_key"]).select("leader", "id").distinct(), "near-work")
-    large = work.groupBy(F.col("leader").alias("l_leader")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    # Staged, so that the join below has an exchange on either side and Spark can split a large leader there.
+    large = stage(work.groupBy(F.col("leader").alias("l_leader")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1"), "near-large")
     dealt = work.join(large, work["leader"] == large["l_leader"], "left").drop("l_leader")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != own), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))

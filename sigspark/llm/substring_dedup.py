@@ -10,8 +10,11 @@ of text, which holds the suffixes' 64-bit window hashes and word positions. Two
 hashes and their groups agree; the group comes from an independent hash of the prefix, so a false match within a group
 of a million suffixes has odds of about 1e12 / 2^65 at any corpus size.
 
-A window so frequent that it overfills a group alone is a single leaf; each batch of text sends only its suffixes of
-it, and the group finds their least document in one pass without pairs.
+A window that would overfill a group alone is a heavy leaf. The counting pass finds those: every batch of text reports
+the windows it holds ``REPORT`` times or more, so a window's sum is short by less than that for each batch. Heavy are
+sums of ``group`` / 16 and of 1 / 2^``SHARE`` of all windows or more; there are 2^``SHARE`` of those at most, so their
+hashes and least documents (2 MB) reach the driver and the workers. Of a heavy window a batch sends one suffix, that of
+its least document; the other suffixes never travel and are found again where the words are removed.
 
 Defined results: null text has no words; a null id ranks after all ids; rows that share an id never count as earlier
 than one another; texts of any length are taken whole; an empty table gives an empty result; other columns are ignored.
@@ -34,6 +37,7 @@ LEVELS = (1, 2, 4, 8)
 CELLS = 1 << 14
 GROUP = 1 << 20
 FLUSH = 16 << 20
+REPORT, SHARE = 8, 17
 LAST = np.int64(2**63 - 1)
 
 
@@ -60,12 +64,24 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(int(LAST)).to_numpy(zero_copy_only=False)
 
 
-def prefix_counts(docs: DataFrame, text_col: str, window: int) -> np.ndarray:
-    """Sketch of prefix counts over all windows of all documents: number of levels x CELLS."""
+def _among(h: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Mask of h: is in the sorted array some."""
+    return some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h if len(some) else np.zeros(len(h), bool)
+
+
+def prefix_counts(docs: DataFrame, text_col: str, window: int, group: int, report: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch of prefix counts over all windows of all documents, number of levels x CELLS; sorted hashes of heavy windows."""
     levels = levels_of(window)
 
     def count(batches):
-        total = np.zeros((len(levels), CELLS), np.int64)
+        def often(held):
+            h = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            n = np.diff(np.append(first, len(h)))
+            h, n = h[first][n >= report], n[n >= report]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), -1, np.int32)), pa.array(h.view(np.int64)), pa.array(n)], ["cell", "h", "n"])
+
+        total, held, size = np.zeros((len(levels), CELLS), np.int64), [], 0
         for b in batches:
             for _, _, data, offsets in slices(b.column(0)):
                 w = words_of(data, offsets)
@@ -73,27 +89,39 @@ def prefix_counts(docs: DataFrame, text_col: str, window: int) -> np.ndarray:
                 if len(at):
                     for k, p in enumerate(levels):
                         total[k] += np.bincount((window_hashes(w.hashes, p)[at] >> U(50)).astype(np.int64), minlength=CELLS)
+                    held.append(window_hashes(w.hashes, window)[at])
+                    size += len(data)
+                if size > FLUSH:
+                    yield often(held)
+                    held, size = [], 0
+        if held:
+            yield often(held)
         flat = total.ravel()
         cells = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(flat[cells])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(np.zeros(len(cells), np.int64)), pa.array(flat[cells])], ["cell", "h", "n"])
 
     out = np.zeros(len(levels) * CELLS, np.int64)
-    rows = docs.select(text_col).mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    for r in rows.collect():
+    rows = stage(docs.select(text_col).mapInArrow(count, "cell int, h bigint, n bigint").groupBy("cell", "h").agg(F.sum("n").alias("n")).where((F.col("cell") >= 0) | (F.col("n") >= group // 16)), "substring-counts")
+    for r in rows.where("cell >= 0").collect():
         out[r.cell] = r.n
-    return out.reshape(len(levels), CELLS)
+    sketch = out.reshape(len(levels), CELLS)
+    heavy = rows.where((F.col("cell") < 0) & (F.col("n") >= int(sketch[0].sum()) >> SHARE)).select("h").collect()
+    return sketch, np.sort(np.array([r.h for r in heavy], np.int64).view(np.uint64))
+
 
+def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, parts: int | None = None, report: int = REPORT) -> tuple[DataFrame, int, tuple[np.ndarray, np.ndarray]]:
+    """(part, ids, at): the windows of (id, uid, text) that also start in a document with a smaller id, in bulk by part = uid mod parts.
 
-def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, parts: int | None = None) -> tuple[DataFrame, int]:
-    """(part, ids, at): the windows of (id, uid, text) that also start in a document with a smaller id, in bulk by part = uid mod parts."""
+    Of heavy windows some at least are among these; all of them follow from the hashes and least ids that are returned last.
+    """
     spark, levels = docs.sparkSession, levels_of(window)
-    sketch = prefix_counts(docs, "text", window)
+    sketch, heavy = prefix_counts(docs, "text", window, group, report)
     n = int(sketch[0].sum())
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     groups = max(1, -(-n // group), min(-(-n // (group // 16)), 2 * shuffles))
     parts = parts or max(1, groups)
     own_uid = "uid" in docs.columns
-    fits = spark.sparkContext.broadcast(sketch <= max(1, group // 2))
+    fits, rare = spark.sparkContext.broadcast(sketch <= max(1, group // 2)), spark.sparkContext.broadcast(heavy)
 
     def deal(batches):
         def flush(held):
@@ -123,6 +151,12 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, p
                 at = np.flatnonzero(window_starts(w.first, window))
                 if len(at):
                     h = window_hashes(w.hashes, window)[at]
+                    if (often := _among(h, rare.value)).any():
+                        which = np.flatnonzero(often)
+                        which = which[np.lexsort((ids[a:z][np.searchsorted(w.first, at[which], "right") - 1], h[which]))]
+                        stay = ~often
+                        stay[which[np.concatenate(([True], h[which[1:]] != h[which[:-1]]))]] = True
+                        at, h = at[stay], h[stay]
                     key = mix(h ^ U(0xA5A5A5A5A5A5A5A5))
                     for k in range(len(levels) - 1, -1, -1):
                         p = window_hashes(w.hashes, levels[k])[at]
@@ -156,14 +190,16 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, p
         begin = np.flatnonzero(new)
         d = d[order]
         least = np.minimum.reduceat(d, begin)[np.cumsum(new) - 1]
+        often = np.flatnonzero(_among(h[begin], rare.value))
         late = order[d > least]
+        known = (_planes(h[begin][often]), _planes(least[begin][often]))
         u, p = u[late], p[late]
         part = np.mod(u, parts)
         by = np.lexsort((p, u, part))
         u, p, part = u[by], p[by], part[by]
         cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
         ends = [*cut[1:].tolist(), len(part)]
-        rows = [(int(part[a]), _planes(_deltas(u[a:b])), _planes(p[a:b])) for a, b in zip(cut.tolist(), ends)]
+        rows = [(int(part[a]), _planes(_deltas(u[a:b])), _planes(p[a:b])) for a, b in zip(cut.tolist(), ends)] + [(-1, *known)] * bool(len(often))
         return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "uids", "at"])
 
     columns = ["id", "text", "uid"] if own_uid else ["id", "text"]
@@ -171,7 +207,11 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, p
     found = dealt.groupBy("bucket").applyInArrow(match, "part bigint, uids binary, at binary")
     out = stage(found, "substring-windows")
     free_shuffles(spark)
-    return out, parts
+    told = out.where("part < 0").select("uids", "at").collect() if len(heavy) else []
+    h = np.concatenate([np.zeros(0, np.uint64), *(_from_planes(bytes(r.uids), np.uint64) for r in told)])
+    least = np.concatenate([np.zeros(0, np.int64), *(_from_planes(bytes(r.at), np.int64) for r in told)])
+    order = np.argsort(h)
+    return out.where("part >= 0"), parts, (h[order], least[order])
 
 
 def spans_of(at: np.ndarray, window: int) -> np.ndarray:
@@ -185,19 +225,36 @@ def spans_of(at: np.ndarray, window: int) -> np.ndarray:
     return np.stack([at[begin], at[end] + window], 1)
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group: int = GROUP, with_text: bool = False, report: int = REPORT) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256, n_repeats), and with ``with_text`` kept_text and spans (word ranges removed)."""
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     if not rows.groupBy("id").count().where("count > 1").isEmpty():
         rows = stage(rows.withColumn("uid", F.monotonically_increasing_id()), "substring-rows")
-    found, parts = earlier_windows(rows, window, group)
+    found, parts, heavy = earlier_windows(rows, window, group, report=report)
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy)
     uid = F.col("uid") if "uid" in rows.columns else F.coalesce(F.col("id"), F.lit(int(LAST)))
     sides = rows.select(F.pmod(uid, F.lit(parts)).alias("part"), "id", uid.alias("uid"), "text")
     extra = ", kept_text string, spans array<array<bigint>>" if with_text else ""
 
+    def heavy_windows(table: pa.Table):
+        """(uids, first words) of heavy windows of these texts that start in an earlier document too."""
+        h, least = heavy.value
+        ids, uids = _ids(table.column("id").combine_chunks()), table.column("uid").to_numpy()
+        for a, z, data, offsets in slices(table.column("text")) if len(h) else ():
+            w = words_of(data, offsets)
+            at = np.flatnonzero(window_starts(w.first, window))
+            if len(at):
+                own = window_hashes(w.hashes, window)[at]
+                which = np.flatnonzero(_among(own, h))
+                doc = np.searchsorted(w.first, at[which], "right") - 1
+                late = least[np.searchsorted(h, own[which])] < ids[a:z][doc]
+                yield uids[a:z][doc[late]], (at[which] - w.first[doc])[late].astype(np.uint32)
+
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         u = np.concatenate([np.cumsum(_from_planes(x.as_py(), np.int64)) for x in right.column("uids")] or [np.zeros(0, np.int64)])
         p = np.concatenate([_from_planes(x.as_py(), np.uint32) for x in right.column("at")] or [np.zeros(0, np.uint32)])
+        more = list(heavy_windows(left))
+        u, p = np.concatenate([u, *(x[0] for x in more)]), np.concatenate([p, *(x[1] for x in more)])
         order = np.lexsort((p, u))
         u, p = u[order], p[order]
         uids = left.column("uid").to_numpy()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigspark.llm.components import components
 from sigspark.llm.exact_dedup import decisions, drop_copies
 from sigspark.llm.near_dedup import drop_near_copies, near_duplicates
-from sigspark.llm.substring_dedup import spans_of, substring_dedup
+from sigspark.llm.substring_dedup import earlier_windows, spans_of, substring_dedup
 from sigspark.llm.textnp import window_hashes, words_of
 
 from .conftest import table
@@ -42,6 +42,14 @@ def test_substring(spark, clashing, rows, window, group):
     assert table(got) == brute_substring(rows, window)
 
 
+@pytest.mark.parametrize("window,group", [(13, 64), (1, 100)])
+def test_substring_with_heavy_windows(docs, rows, window, group):
+    """Windows that one batch of text holds twice count as heavy here, so that both ways are taken."""
+    _, _, (heavy, least) = earlier_windows(docs.selectExpr("doc_id as id", "text"), window, group, report=2)
+    assert len(heavy) == len(least) > 20
+    assert table(substring_dedup(docs, window=window, group=group, report=2).drop("n_repeats")) == brute_substring(rows, window)
+
+
 def test_substring_text_and_spans(docs, rows):
     for r in substring_dedup(docs, with_text=True).collect():
         w = WORD.findall(dict((x[0], x[1]) for x in rows)[r.doc_id] or "")
