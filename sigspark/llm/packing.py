@@ -1,11 +1,11 @@
 """Packing by lexical retrieval: a sharded BM25 index supplies unused neighbours that fill each seed's window.
 
 Rows are dealt to shards of about ``SHARD_ROWS`` rows and ``SHARD_BYTES`` bytes by a hash of id and text. A shard
-indexes all words of its documents (BM25, term statistics of the shard). Its token stream grows greedily: a seed opens
-a window, its unused neighbours follow in score order, the one that crosses the window's end is cut and seeds the
-next; without neighbours left the first unused document goes on. So only a shard's last window is padded. The query of
-a seed is its ``QUERY_TERMS`` words of the highest weight over its whole text; documents it doesn't find are still
-packed, as later seeds.
+indexes all words of its documents (BM25; document counts and mean length are those of the whole corpus). Its token
+stream grows greedily: a seed opens a window, its unused neighbours follow in score order, the one that crosses the
+window's end is cut and seeds the next; without neighbours left the first unused document goes on. So only a shard's
+last window is padded. The query of a seed is all its words. Only the seed's own shard is searched: neighbours in other
+shards are not found, and are packed there.
 
 Defined results: a null or blank text is the end id alone; repeated rows are packed each; a null id stays null; an
 empty table gives an empty result; other columns are ignored.
@@ -17,7 +17,8 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codec import ChunkCache, split
@@ -25,15 +26,18 @@ from .textnp import U, Words, slices, words_of
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 2048, 16 << 20
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 _caches: dict[str, ChunkCache] = {}
 
 
 class Index:
-    """BM25 over the documents of a shard; words that only one document has can't find another and are left out."""
+    """BM25 over the documents of a shard; words that only one of them has can't find another and are left out.
 
-    def __init__(self, parts: list[Words], k1: float = K1, b: float = B):
+    ``corpus``: number of documents, mean words of one, and (sorted word hashes, documents that have them) of a larger
+    corpus; without it the shard is the corpus.
+    """
+
+    def __init__(self, parts: list[Words], k1: float = K1, b: float = B, corpus: tuple[int, float, np.ndarray, np.ndarray] | None = None):
         self.n = sum(len(w.first) - 1 for w in parts)
         # One sort of (word, document): words keep the bits that the document's number leaves.
         bits = U(max(1, self.n.bit_length()))
@@ -55,24 +59,25 @@ class Index:
         term, owner = key >> bits, (key & ((U(1) << bits) - U(1))).astype(np.int64)
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(term)), bool), term[1:] != term[:-1])))
         df = np.diff(np.append(first, len(term)))
-        self.idf = np.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        mean = max(1.0, float(size.mean())) if len(size) else 1.0
-        weight = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
-        self.docs, self.weights = owner, weight
+        n, mean, count = self.n, max(1.0, float(size.mean())) if len(size) else 1.0, df
+        if corpus:
+            n, mean, known, counts = corpus
+            at = np.minimum(np.searchsorted(known >> bits, term[first]), max(0, len(known) - 1))
+            count = np.where((known >> bits)[at] == term[first], counts[at], df) if len(known) else df
+        self.idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
+        self.docs = owner
+        self.weights = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
         self.begin = np.append(first, len(term))
-        # A document's words by falling weight: one sort of (document, rank of the weight, word).
-        space = U(max(1, len(df).bit_length()))
-        heavy = U(1023) - np.minimum(1023, weight * 48).astype(np.uint64)
-        by_doc = np.sort((((owner.astype(np.uint64) << U(10)) | heavy) << space) | np.repeat(np.arange(len(df), dtype=np.uint64), df))
-        self.entry = (by_doc & ((U(1) << space) - U(1))).astype(np.int64)
-        self.doc_begin = np.searchsorted(by_doc >> (space + U(10)), np.arange(self.n + 1, dtype=np.uint64))
-
-    def neighbours(self, doc: int, unused: np.ndarray, most: int = QUERY_TERMS) -> np.ndarray:
-        """Unused documents that share a query word, best first."""
+        by_doc = np.argsort(owner, kind="stable")
+        self.entry = np.repeat(np.arange(len(df)), df)[by_doc]
+        self.doc_begin = np.searchsorted(owner[by_doc], np.arange(self.n + 1))
+
+    def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
+        """Unused documents that share a word, best first."""
         score = np.zeros(self.n)
-        for e in self.entry[self.doc_begin[doc] : min(self.doc_begin[doc] + most, self.doc_begin[doc + 1])].tolist():
+        for e in self.entry[self.doc_begin[doc] : self.doc_begin[doc + 1]].tolist():
             a, b = self.begin[e], self.begin[e + 1]
-            score[self.docs[a:b]] += self.idf[e] * self.weights[a:b]
+            score[self.docs[a:b]] += self.weights[a:b]
         score *= unused
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
@@ -83,6 +88,23 @@ def words_in(texts: pa.Array) -> list[Words]:
     return [words_of(data, offsets, lower=True) for _, _, data, offsets in slices(texts, SHARD_BYTES)]
 
 
+def word_counts(parts: list[Words]) -> tuple[np.ndarray, np.ndarray]:
+    """The different words (hashes) of these documents, and how many documents have each."""
+    hashes, owners, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for w in parts:
+        hashes.append(w.hashes)
+        owners.append(np.repeat(np.arange(at, at + len(w.first) - 1), np.diff(w.first)))
+        at += len(w.first) - 1
+    word, owner = np.concatenate(hashes), np.concatenate(owners)
+    order = np.argsort(word, kind="stable")  # owners rise within a word
+    word, owner = word[order], owner[order]
+    new = np.concatenate((np.ones(min(1, len(word)), bool), word[1:] != word[:-1]))
+    other = new.copy()
+    other[1:] |= owner[1:] != owner[:-1]
+    first = np.flatnonzero(new)
+    return word[first], np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+
+
 def ids_of(w: Words, raw: pa.Array, cache: ChunkCache, end: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of a part's texts end to end, each with the end id, and where each begins (one more).
 
@@ -132,13 +154,30 @@ def order_of(index: Index, lengths: list[int], window: int) -> list[int]:
     return order
 
 
+def corpus_counts(dealt: DataFrame) -> DataFrame:
+    """(shard, word, total): a shard's words with the documents of all shards that have them; the null word has the number of all words.
+
+    Words that only one document of the shard has find nothing there and are left out. dealt has shard and text.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = words_in(table.column("text").combine_chunks())
+        word, docs = word_counts(parts)
+        shard = table.column("shard")[0].as_py() if table.num_rows else 0
+        words = pa.concat_arrays([pa.array(word.view(np.int64)), pa.nulls(1, pa.int64())])
+        return pa.table({"shard": pa.array(np.full(len(words), shard), pa.int64()), "word": words, "docs": np.append(docs, sum(len(w.hashes) for w in parts))})
+
+    counted = dealt.groupBy("shard").applyInArrow(count, "shard bigint, word bigint, docs bigint")
+    return counted.withColumn("total", F.sum("docs").over(Window.partitionBy("word"))).where("docs > 1 or word is null").select("shard", "word", "total")
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     shards = max(1, -(-n // shard_rows), -(-(size or 0) // shard_bytes))
     end = np.array([end_id], "<u4").tobytes()
 
-    def fill(table: pa.Table) -> pa.Table:
+    def fill(table: pa.Table, counts: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         shard = table.column("shard")[0].as_py() if table.num_rows else 0
         table = table.sort_by([("id", "ascending"), ("text", "ascending")])
@@ -149,9 +188,15 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end)
             ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
         lengths = [len(x) for x in ids]
+        every = pc.is_null(counts.column("word"))
+        total = pc.sum(counts.filter(every).column("total")).as_py() or 0
+        counts = counts.filter(pc.invert(every))
+        known = counts.column("word").to_numpy().view(np.uint64)
+        by_word = np.argsort(known)
+        corpus = n, max(1.0, total / max(1, n)), known[by_word], counts.column("total").to_numpy()[by_word]
         doc, start, length, crc, sequence, offset = [], [], [], [], [], []
         at = 0
-        for d in order_of(Index(parts), lengths, window):
+        for d in order_of(Index(parts, corpus=corpus), lengths, window):
             done, own = 0, ids[d]
             while done < lengths[d]:
                 take = min(window - at % window, lengths[d] - done)
@@ -169,5 +214,5 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)).alias("shard"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = dealt.groupBy("shard").applyInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = dealt.groupBy("shard").cogroup(corpus_counts(dealt).groupBy("shard")).applyInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 from sigspark.llm.codec import ChunkCache, split, tokenizer  # noqa: E402
-from sigspark.llm.packing import Index, order_of, pack, words_in  # noqa: E402
+from sigspark.llm.packing import Index, corpus_counts, order_of, pack, words_in  # noqa: E402
 from sigspark.llm.queries import tokenizer_path  # noqa: E402
 from sigspark.llm.token_counts import token_counts  # noqa: E402
 from sigspark.llm.toxicity import best_words, held_out, toxicity, train  # noqa: E402
@@ -100,6 +100,41 @@ def test_retrieval_follows_topics():
     assert best[0] == 0 and all(d % 4 == 0 for d in best[:8])
 
 
+def test_query_has_all_words():
+    """Two documents share only their lightest words, after 30 heavier ones that each has with others."""
+    import pyarrow as pa
+
+    heavy = [[f"h{k}x{i}" for i in range(30)] for k in range(2)]
+    light = [f"l{i}" for i in range(10)]
+    texts = [" ".join(heavy[0] + light), " ".join(heavy[1] + light), *(" ".join(h) for h in heavy), *(" ".join(light) for _ in range(6))]
+    found = Index(words_in(pa.array(texts))).neighbours(0, np.ones(len(texts), bool))
+    assert set(found.tolist()) == {0, 1, 2, *range(4, 10)}
+
+
+def test_statistics_are_the_corpus(spark):
+    """A shard's words are weighed by the documents of all shards and by the mean length of all."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice([f"W{j}" for j in range(40)]) for _ in range(r.randrange(1, 30))) for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "shard bigint, text string")
+    got = corpus_counts(docs).collect()
+    sets = [set((t or "").split()) for t in texts]
+    totals = {w: sum(w in s for s in sets) for w in set().union(*sets)}
+    assert {x.total for x in got if x.word is None} == {sum(len((t or "").split()) for t in texts)}
+    for k in range(5):
+        shared = [w for w in totals if sum(w in s for s in sets[k::5]) > 1]
+        assert sorted(x.total for x in got if x.shard == k and x.word is not None) == sorted(totals[w] for w in shared)
+    # "a" is rare in the shard and frequent in the corpus, "b" the other way round.
+    parts = words_in(pa.array(["a b c", "a x y", "b x y", "b u v", "b u v"]))
+    hashes = {w: parts[0].hashes[i] for i, w in enumerate(["a", "b"])}
+    known = np.sort(np.array(list(hashes.values()), np.uint64))
+    counts = np.array([900 if h == hashes["a"] else 3 for h in known])
+    every = np.ones(5, bool)
+    assert Index(parts).neighbours(0, every)[1] == 1
+    assert Index(parts, corpus=(1000, 3.0, known, counts)).neighbours(0, every)[1] == 2
+
+
 def labelled(n=900, seed=5):
     r = random.Random(seed)
     syllables = "ba ko ti ren sol mar vin del tor pas".split()
