@@ -2,7 +2,8 @@
 
 Lines are normalised (lower case, digits to 0, blanks to one space), hashed, and counted once per different document
 of a host: documents whose texts are equal after removal of blanks count as one. A line above the host's limit,
-``max(least_docs, fraction * documents of the host)``, is removed; a document that keeps fewer than ``keep_words`` of
+``min(most_docs, max(least_docs, fraction * documents of the host))``, is removed; so a line of over ``most_docs``
+documents goes however large its host is. A document that keeps fewer than ``keep_words`` of
 its words, as a share, is depleted and rejected. ``base`` holds the rules inside one document.
 
 Defined results: null text: no words, base failed; null host: a host of its own; an empty table gives an empty result;
@@ -18,7 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[^#*$%&|<>]+"
 WINDOW = 5
-LEAST_DOCS, FRACTION, KEEP_WORDS = 50, 0.10, 0.30
+LEAST_DOCS, FRACTION, MOST_DOCS, KEEP_WORDS = 2, 0.10, 10, 0.30
 
 
 def _let(value: Column, body) -> Column:
@@ -67,41 +68,53 @@ def line_hashes(text: Column) -> Column:
     return F.transform(F.split(plain, "\n"), lambda x: _let(F.trim(x), lambda t: F.when(t != "", F.xxhash64(t))))
 
 
-def frequent_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, fraction: float) -> DataFrame:
-    """(host, line) above the limit of their host."""
+def hashed_lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
+    """(host, key, doc, lines) of each row: hash of the text, hash of the text without blanks, different line hashes."""
     t = F.coalesce(F.col(text_col), F.lit(""))
-    per_host = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"))
-    sizes = per_host.distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    # Both hashes come before the explode, or the text goes along with each of its lines and is hashed for each. explode_outer:
-    # explode would have Catalyst evaluate the array a second and third time, in a filter for empty arrays.
-    hashed = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), F.array_distinct(line_hashes(t)).alias("lines"))
+    return docs.select(F.col(host_col).alias("host"), F.xxhash64(t).alias("key"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), F.array_distinct(line_hashes(t)).alias("lines"))
+
+
+def frequent_lines(hashed: DataFrame, least_docs: int, fraction: float, most_docs: int) -> DataFrame:
+    """(host, line) above the limit of their host."""
+    sizes = hashed.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    # explode_outer: explode would have Catalyst evaluate the array a second and third time, in a filter for empty arrays.
     pairs = hashed.select("host", "doc", F.explode_outer("lines").alias("line")).where("line is not null").distinct()
-    seen = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least_docs)
+    seen = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(least_docs, most_docs))
     s = sizes.withColumnRenamed("host", "s_host")
-    return seen.join(s, seen["host"].eqNullSafe(s["s_host"])).where(F.col("n") > F.col("host_docs") * fraction).select("host", "line")
+    limit = F.least(F.lit(most_docs), F.greatest(F.lit(least_docs), F.col("host_docs") * fraction))
+    return seen.join(s, seen["host"].eqNullSafe(s["s_host"])).where(F.col("n") > limit).select("host", "line")
+
 
+BROADCAST_LINES = 200_000
 
-def removal(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int = LEAST_DOCS, fraction: float = FRACTION) -> DataFrame:
-    """(host, lines): the hashes of the lines to remove of each host.
 
-    A host has at most 1 / fraction times its documents' mean number of lines such lines, and hosts with any have over
-    ``least_docs`` documents, so an array of a host is as small as some documents.
-    """
-    return frequent_lines(docs, id_col, text_col, host_col, least_docs, fraction).groupBy("host").agg(F.collect_set("line").alias("lines"))
+def removal(docs: DataFrame, text_col: str, host_col: str, least_docs: int = LEAST_DOCS, fraction: float = FRACTION, most_docs: int = MOST_DOCS) -> DataFrame:
+    """(host, key, lines): the hashes of the lines to remove of each text that has any, by host and hash of the text.
 
+    A large host may have very many such lines, so they are joined by line: an array has lines of one text only.
+    """
+    from .workspace import stage
 
-BROADCAST_LINES = 200_000
+    # The hashes are kept, not made again for the second pass; they come before the explode, so the text doesn't go along with each line.
+    hashed = stage(hashed_lines(docs, text_col, host_col), "quality-hashes")
+    gone = stage(frequent_lines(hashed, least_docs, fraction, most_docs), "quality-lines")
+    g = gone.select(F.col("host").alias("g_host"), F.col("line").alias("g_line"))
+    g = F.broadcast(g) if gone.count() <= BROADCAST_LINES else g
+    lines = hashed.select("host", "key", F.explode_outer("lines").alias("line")).where("line is not null")
+    hits = lines.join(g, lines["host"].eqNullSafe(g["g_host"]) & (lines["line"] == g["g_line"]))
+    return hits.groupBy("host", "key").agg(F.collect_set("line").alias("lines"))
 
 
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, fraction: float = FRACTION, keep_words: float = KEEP_WORDS, carry: bool = False) -> DataFrame:
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, fraction: float = FRACTION, keep_words: float = KEEP_WORDS, carry: bool = False, most_docs: int = MOST_DOCS) -> DataFrame:
     """id, the base counts, base_failed, kept_words and kept; with ``carry`` the input columns and ``__text``, the text without the lines removed."""
     from .workspace import stage
 
-    gone = stage(removal(docs, id_col, text_col, host_col, least_docs, fraction), "quality-lines")
+    gone = stage(removal(docs, text_col, host_col, least_docs, fraction, most_docs), "quality-removal")
     size = gone.agg(F.sum(F.size("lines"))).first()[0] or 0
-    g = gone.select(F.col("host").alias("__host"), F.col("lines").alias("__gone"))
+    g = gone.select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.col("lines").alias("__gone"))
     g = F.broadcast(g) if size <= BROADCAST_LINES else g
-    rows = docs.join(g, docs[host_col].eqNullSafe(g["__host"]), "left").drop("__host")
+    of_text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    rows = docs.join(g, docs[host_col].eqNullSafe(g["__host"]) & (of_text == g["__key"]), "left").drop("__host", "__key")
     counts = {f"__{k}" if carry else k: v for k, v in base(F.col(text_col)).items()}
     p = "__" if carry else ""
     text = F.coalesce(F.col(text_col), F.lit(""))

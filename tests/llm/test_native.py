@@ -111,6 +111,17 @@ def test_quality(clashing, rows, least, fraction):
     assert {r.doc_id: len(WORD.findall(r.text or "")) for r in clean.collect()} == {r[0]: r[6] for r in want if r[-1]}
 
 
+@pytest.mark.parametrize("n,shared", [(4, 3), (400, 11)])
+def test_quality_limits(spark, n, shared, monkeypatch):
+    """A repeated line goes from a host of 4 documents and, in 11 of 400, from a large one; one at the limit stays."""
+    monkeypatch.setattr(quality, "BROADCAST_LINES", 0 if n > 4 else quality.BROADCAST_LINES)
+    own = lambda i: " ".join("x" * (i // 20 + 1) + chr(97 + i % 20) + chr(97 + j) for j in range(12))
+    text = lambda i: own(i) + "\nShare this page" * (i < shared) + "\nstays here" * (i < shared - 1)
+    df = spark.createDataFrame([(i, text(i), "host") for i in range(n)], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r.text for r in quality.clean(df).collect()}
+    assert got == {i: text(i).replace("\nShare this page", "") for i in range(n)}
+
+
 def test_quality_odd_and_empty(odd, nothing):
     assert quality.verdicts(nothing).count() == 0 and quality.clean(nothing).count() == 0
     assert quality.verdicts(odd).count() == 7 and quality.clean(odd).count() == 0
