@@ -56,8 +56,8 @@ def src04_parameterised(spark, d):
 
 @query("select event_type, 1::BIGINT as n, (row_number() over (order by event_type) - 1)::BIGINT as _seq from (select distinct event_type from events)")
 def src05_iterable(spark, d):
-    """Records that the driver holds: here a handful of event types."""
-    kinds = [(r.event_type, 1) for r in _events(spark, d, "event_type").distinct().orderBy("event_type").limit(1000).collect()]
+    """Records that the driver holds: here all event types."""
+    kinds = [(r.event_type, 1) for r in _events(spark, d, "event_type").distinct().orderBy("event_type").collect()]
     return from_iterable(spark, kinds, "event_type string, n bigint")
 
 

@@ -44,6 +44,12 @@ def test_query(spark, duck, name):
     assert a == b
 
 
+def test_iterable_has_all_types(spark, tmp_path):
+    spark.range(1500).selectExpr("id as event_id", "printf('t%04d', id) as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in engine.queries()["src05_iterable"](spark, str(tmp_path)).select("_seq", "event_type", "n").collect())
+    assert got == [(i, f"t{i:04d}", 1) for i in range(1500)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
