@@ -7,8 +7,8 @@ lengthens a prefix and changes no result. A group's subtree is cut at depth ``wi
 suffixes' window hashes, its internal nodes at that depth are the runs of equal hashes, and runs of deep nodes at
 consecutive positions are the maximal repeats. Suffixes travel in bulk: one row for a group and about ``FLUSH`` bytes
 of text, which holds the suffixes' 64-bit window hashes and word positions. Two windows are taken for equal if their
-hashes and their groups agree; the group comes from an independent hash of the prefix, so a false match within a group
-of a million suffixes has odds of about 1e12 / 2^65 at any corpus size.
+hashes and their groups agree; the group comes from a hash of the prefix, or of the whole window's words hashed anew, so
+a false match within a group of a million suffixes has odds of about 1e12 / 2^65, and their number grows with that of the groups.
 
 A window that would overfill a group alone is a heavy leaf. The counting pass finds those: every batch of text reports
 the windows it holds ``REPORT`` times or more, so a window's sum is short by less than that for each batch. Heavy are
@@ -41,6 +41,11 @@ REPORT, SHARE = 8, 17
 LAST = np.int64(2**63 - 1)
 
 
+def whole_keys(hashes: np.ndarray, window: int) -> np.ndarray:
+    """A second hash of each window, whose collisions aren't those of ``window_hashes``: words are hashed anew first."""
+    return window_hashes(mix(hashes ^ U(0xA5A5A5A5A5A5A5A5)), window)
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Bytes of the same rank together: small numbers then compress well."""
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes() if len(x) else b""
@@ -157,11 +162,12 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, group: int = GROUP, p
                         stay = ~often
                         stay[which[np.concatenate(([True], h[which[1:]] != h[which[:-1]]))]] = True
                         at, h = at[stay], h[stay]
-                    key = mix(h ^ U(0xA5A5A5A5A5A5A5A5))
+                    whole = whole_keys(w.hashes, window)[at]
+                    key = whole
                     for k in range(len(levels) - 1, -1, -1):
                         p = window_hashes(w.hashes, levels[k])[at]
                         ok = fits.value[k][(p >> U(50)).astype(np.int64)]
-                        key = np.where(ok, mix(p + U(levels[k])), key)
+                        key = np.where(ok, mix(p + U(levels[k])) if levels[k] < window else whole, key)
                     has = np.flatnonzero(np.diff(w.first) >= window)
                     held.append((h, at + words, key, w.first[has] + words, ids[a:z][has], uids[a:z][has]))
                     words += int(w.first[-1])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigspark.llm.components import components
 from sigspark.llm.exact_dedup import decisions, drop_copies
 from sigspark.llm.near_dedup import drop_near_copies, near_duplicates
-from sigspark.llm.substring_dedup import earlier_windows, spans_of, substring_dedup
+from sigspark.llm.substring_dedup import earlier_windows, spans_of, substring_dedup, whole_keys
 from sigspark.llm.textnp import window_hashes, words_of
 
 from .conftest import table
@@ -50,6 +50,19 @@ def test_substring_with_heavy_windows(docs, rows, window, group):
     assert table(substring_dedup(docs, window=window, group=group, report=2).drop("n_repeats")) == brute_substring(rows, window)
 
 
+def test_whole_window_keys_are_independent():
+    """Different windows of one window hash: their keys differ, those of equal windows don't."""
+    import numpy as np
+
+    from sigspark.llm.textnp import BASE, window_hashes
+
+    x, y = 0x1234567, 0xABCDEF01
+    h = np.array([x, y, x + BASE, y - 1, x, y], np.uint64)
+    same, keys = window_hashes(h, 2)[::2], whole_keys(h, 2)[::2]
+    assert same[0] == same[1] == same[2]
+    assert keys[0] != keys[1] and keys[0] == keys[2]
+
+
 def test_substring_text_and_spans(docs, rows):
     for r in substring_dedup(docs, with_text=True).collect():
         w = WORD.findall(dict((x[0], x[1]) for x in rows)[r.doc_id] or "")
