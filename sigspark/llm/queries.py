@@ -43,7 +43,7 @@ def op4_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.get(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int")).alias("role"), F.lit(said).alias("text"))
     return read_back(windows(turns.unionByName(extra)))
 
 

@@ -62,6 +62,62 @@ def test_chat_windows_keep_the_budget_the_system_turn_and_repeat_history(spark):
     assert sum(len(x.loss) for x in w) == 19
 
 
+def brute_windows(turns, budget, history):
+    """Greedy windows of one conversation's (role, tokens): lists of (turn, repeated)."""
+    system = bool(turns) and turns[0][0] == "system"
+    out, at = [], 0
+    while at < len(turns):
+        t = turns[at][1]
+        head = system and at > 0 and turns[0][1] + t <= budget
+        used = t + (turns[0][1] if head else 0)
+        room, back = min(history, budget - used), at
+        while back > system and sum(x[1] for x in turns[back - 1 : at]) <= room:
+            back -= 1
+        used += sum(x[1] for x in turns[back:at])
+        to = at + 1
+        while to < len(turns) and used + turns[to][1] <= budget:
+            used += turns[to][1]
+            to += 1
+        out.append(([0] if head else []) + list(range(back, at)) + list(range(at, to)))
+        at = to
+    return out
+
+
+def test_chat_budget_over_many_system_turns_and_lengths(spark):
+    import random
+
+    r = random.Random(5)
+    rows, budget, history = [], 2048, 512
+    for c in range(60):
+        n = r.choice([1, 2, 5, 30])
+        for t in range(n):
+            role = "system" if t == 0 and c % 3 else ["user", "assistant"][t % 2]
+            rows.append((c, t, role, "x" * 4 * r.choice([0, 10, 100, 700, 900, 1300, 2040, 2041, 4000])))
+    w = chat.windows(spark.createDataFrame(rows, TURNS), budget, history)
+    got = defaultdict(list)
+    for x in w.orderBy("conv_id", "block", "window").collect():
+        sizes = [len(p.split(chat.ROLE_END)[1]) // 4 + 8 for p in x.formatted.split(chat.CLOSE)[:-1]]
+        assert x.n_tokens == sum(sizes) and x.estimated
+        assert x.n_tokens <= budget or len(sizes) == 1
+        got[x.conv_id].append((sizes, x.n_repeated))
+    for c in range(60):
+        turns = [(role, len(t) // 4 + 8) for i, _, role, t in rows if i == c]
+        assert [s for s, _ in got[c]] == [[turns[i][1] for i in w] for w in brute_windows(turns, budget, history)]
+    assert table(chat.read_back(w).drop("formatted_chars")) == brute_chat(rows)
+
+
+def test_chat_blocks_of_a_long_conversation(spark):
+    """A conversation dealt over several blocks reads back and keeps its system turn in each; real token counts are taken."""
+    rows = [(1, 5, "system", "rules")] + [(1, 5 + i, ["user", "assistant"][i % 2 == 0], f"turn {i}") for i in range(1, 50)]
+    rows += [(2, i, "user" if i else "system", "y" * i) for i in range(3)] + [(3, i, "system", "z") for i in (1, 40)]
+    df = spark.createDataFrame(rows, TURNS).withColumn("mine", F.lit(10))
+    w = chat.windows(df, 100, 30, tokens_col="mine", block=8)
+    assert table(chat.read_back(w).drop("formatted_chars")) == brute_chat(rows)
+    found = w.collect()
+    assert all(x.n_tokens <= 100 and not x.estimated for x in found) and len({x.block for x in found if x.conv_id == 1}) == 7
+    assert all(x.formatted.startswith("<s>[ROLE] system [/ROLE]rules") for x in found if x.conv_id == 1)
+
+
 def test_chat_empty(spark):
     assert chat.read_back(chat.windows(spark.createDataFrame([], TURNS))).count() == 0
 
