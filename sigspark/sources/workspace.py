@@ -11,9 +11,11 @@ _own: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset."""
+    """spark.checkpoint.dir of the session; a folder of our own only where that is unset and all of Spark is on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not at and app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="sigspark-")
     return (at or _own[app]).rstrip("/")
