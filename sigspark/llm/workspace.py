@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset (tests, local mode)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="sigspark-")
-        spark.sparkContext.setCheckpointDir(_OWN[app])
-    return _OWN[app]
+from ..sources.workspace import scratch
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -28,7 +15,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files go when the JVM ends, or with ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sigspark/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/sigspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
