@@ -6,8 +6,11 @@ of a host: documents whose texts are equal after removal of blanks count as one.
 documents goes however large its host is. A document that keeps fewer than ``keep_words`` of
 its words, as a share, is depleted and rejected. ``base`` holds the rules inside one document.
 
-Defined results: null text: no words, base failed; null host: a host of its own; an empty table gives an empty result;
-repeated rows each get their verdict; other columns are ignored by ``verdicts`` and kept by ``clean``.
+A text is scanned once: counts and hashes of its lines are staged, and all that follows works on those.
+
+Defined results: null text: no words, base failed; null host: a host of its own; texts of any length are taken whole; an
+empty table gives an empty result; repeated rows each get their verdict; other columns are ignored by ``verdicts`` and
+kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -15,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import FILE, ROW, bitmaps, located, marked, without
+from .workspace import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[^#*$%&|<>]+"
@@ -62,72 +68,70 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
-def line_hashes(text: Column) -> Column:
-    """Hash of each normalised line; null for lines without a word. The whole text is normalised before it is cut."""
+def hashed_lines(text: Column) -> Column:
+    """(h, n) of each line: hash of the normalised line, null for lines without a word, and its words. The whole text is normalised before it is cut."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
-    return F.transform(F.split(plain, "\n"), lambda x: _let(F.trim(x), lambda t: F.when(t != "", F.xxhash64(t))))
+    # Words of a normalised line have one space between them.
+    count = lambda t: (F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("int")
+    line = lambda t: F.struct(F.when(t != "", F.xxhash64(t)).alias("h"), F.when(t != "", count(t)).otherwise(0).alias("n"))
+    return F.transform(F.split(plain, "\n"), lambda x: _let(F.trim(x), line))
+
 
+def scanned(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
+    """(uid, id, host, doc, lines, base counts) of each row, and its place if docs has it, staged: the one scan of the texts.
 
-def hashed_lines(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """(host, key, doc, lines) of each row: hash of the text, hash of the text without blanks, different line hashes."""
+    doc is a hash of the text without blanks.
+    """
     t = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(host_col).alias("host"), F.xxhash64(t).alias("key"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), F.array_distinct(line_hashes(t)).alias("lines"))
+    counts = [v.alias(k) for k, v in base(F.col(text_col)).items()]
+    place = [c for c in (FILE, ROW) if c in docs.columns]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(F.regexp_replace(t, BLANK, "")).alias("doc"), hashed_lines(t).alias("lines"), *counts, *place)
+    return stage(rows.withColumn("uid", F.monotonically_increasing_id()), "quality-rows")
 
 
-def frequent_lines(hashed: DataFrame, least_docs: int, fraction: float, most_docs: int) -> DataFrame:
-    """(host, line) above the limit of their host."""
-    sizes = hashed.select("host", "doc").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+def frequent_lines(rows: DataFrame, least_docs: int, fraction: float, most_docs: int) -> DataFrame:
+    """(g_host, g_line) above the limit of their host, staged."""
+    sizes = rows.select("host", "doc").distinct().groupBy(F.col("host").alias("s_host")).agg(F.count(F.lit(1)).alias("host_docs"))
     # explode_outer: explode would have Catalyst evaluate the array a second and third time, in a filter for empty arrays.
-    pairs = hashed.select("host", "doc", F.explode_outer("lines").alias("line")).where("line is not null").distinct()
+    pairs = rows.select("host", "doc", F.explode_outer("lines.h").alias("line")).where("line is not null").distinct()
     seen = pairs.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(least_docs, most_docs))
-    s = sizes.withColumnRenamed("host", "s_host")
     limit = F.least(F.lit(most_docs), F.greatest(F.lit(least_docs), F.col("host_docs") * fraction))
-    return seen.join(s, seen["host"].eqNullSafe(s["s_host"])).where(F.col("n") > limit).select("host", "line")
+    over = seen.join(sizes, F.col("host").eqNullSafe(F.col("s_host"))).where(F.col("n") > limit)
+    return stage(over.select(F.col("host").alias("g_host"), F.col("line").alias("g_line")), "quality-lines")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, host_col: str, least_docs: int, fraction: float, keep_words: float, most_docs: int) -> DataFrame:
+    """The scanned rows with kept_words, base_failed, kept and gone, the numbers of the lines to remove (null: none)."""
+    rows = scanned(docs, id_col, text_col, host_col)
+    gone = frequent_lines(rows, least_docs, fraction, most_docs)
+    # Each line meets the limits by (host, line). gone is staged, so Spark knows its size: it broadcasts it only if it is
+    # small; else both sides shuffle by (host, line), where no line is a row of gone twice and a hot line's rows can be split.
+    lines = rows.select("uid", "host", F.posexplode_outer("lines").alias("at", "line")).where("line.h is not null").select("uid", "host", "at", "line.h", "line.n")
+    hits = lines.join(gone, F.col("host").eqNullSafe(F.col("g_host")) & (F.col("h") == F.col("g_line")))
+    lost = hits.groupBy(F.col("uid").alias("l_uid")).agg(F.sum("n").alias("lost"), F.collect_list("at").alias("gone"))
+    n = F.col("n_words")
+    out = rows.drop("lines").join(lost, F.col("uid") == F.col("l_uid"), "left").withColumn("kept_words", n - F.coalesce("lost", F.lit(0)))
+    out = out.withColumn("base_failed", (n < 10) | (100 * F.col("n_repeat_words") > 20 * n))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("kept_words") >= keep_words * n)).drop("lost", "l_uid", "uid")
 
 
-BROADCAST_LINES = 200_000
+def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, fraction: float = FRACTION, keep_words: float = KEEP_WORDS, most_docs: int = MOST_DOCS) -> DataFrame:
+    """id, the base counts, base_failed, kept_words and kept of each row."""
+    out = _judged(docs, id_col, text_col, host_col, least_docs, fraction, keep_words, most_docs)
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "kept_words", "base_failed", "kept")
 
 
-def removal(docs: DataFrame, text_col: str, host_col: str, least_docs: int = LEAST_DOCS, fraction: float = FRACTION, most_docs: int = MOST_DOCS) -> DataFrame:
-    """(host, key, lines): the hashes of the lines to remove of each text that has any, by host and hash of the text.
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, fraction: float = FRACTION, keep_words: float = KEEP_WORDS, most_docs: int = MOST_DOCS) -> DataFrame:
+    """docs without the rejected rows and, in the rows that stay, without the lines above the limits: docs' columns.
 
-    A large host may have very many such lines, so they are joined by line: an array has lines of one text only.
+    Only texts that lose lines are moved; the others stay where they are.
     """
-    from .workspace import stage
-
-    # The hashes are kept, not made again for the second pass; they come before the explode, so the text doesn't go along with each line.
-    hashed = stage(hashed_lines(docs, text_col, host_col), "quality-hashes")
-    gone = stage(frequent_lines(hashed, least_docs, fraction, most_docs), "quality-lines")
-    g = gone.select(F.col("host").alias("g_host"), F.col("line").alias("g_line"))
-    g = F.broadcast(g) if gone.count() <= BROADCAST_LINES else g
-    lines = hashed.select("host", "key", F.explode_outer("lines").alias("line")).where("line is not null")
-    hits = lines.join(g, lines["host"].eqNullSafe(g["g_host"]) & (lines["line"] == g["g_line"]))
-    return hits.groupBy("host", "key").agg(F.collect_set("line").alias("lines"))
-
-
-def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_docs: int = LEAST_DOCS, fraction: float = FRACTION, keep_words: float = KEEP_WORDS, carry: bool = False, most_docs: int = MOST_DOCS) -> DataFrame:
-    """id, the base counts, base_failed, kept_words and kept; with ``carry`` the input columns and ``__text``, the text without the lines removed."""
-    from .workspace import stage
-
-    gone = stage(removal(docs, text_col, host_col, least_docs, fraction, most_docs), "quality-removal")
-    size = gone.agg(F.sum(F.size("lines"))).first()[0] or 0
-    g = gone.select(F.col("host").alias("__host"), F.col("key").alias("__key"), F.col("lines").alias("__gone"))
-    g = F.broadcast(g) if size <= BROADCAST_LINES else g
-    of_text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.join(g, docs[host_col].eqNullSafe(g["__host"]) & (of_text == g["__key"]), "left").drop("__host", "__key")
-    counts = {f"__{k}" if carry else k: v for k, v in base(F.col(text_col)).items()}
-    p = "__" if carry else ""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    stay = _let(line_hashes(text), lambda h: F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.array_contains(F.col("__gone"), F.get(h, i)), F.lit(False))), "\n"))
-    keep = [docs[c] for c in docs.columns] if carry else [F.col(id_col)]
-    out = rows.select(*keep, *[v.alias(k) for k, v in counts.items()], *([F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(stay).alias("__text")] if carry else []), F.when(F.col("__gone").isNull(), F.lit(None)).otherwise(F.regexp_count(stay, F.lit(WORD))).cast("long").alias(f"{p}left"))
-    n, left = F.col(f"{p}n_words"), F.coalesce(F.col(f"{p}left"), F.col(f"{p}n_words"))
-    failed = (n < 10) | (100 * F.col(f"{p}n_repeat_words") > 20 * n)
-    out = out.withColumn(f"{p}kept_words", left).withColumn(f"{p}base_failed", failed)
-    return out.withColumn(f"{p}kept", ~F.col(f"{p}base_failed") & (left >= keep_words * n)).drop(f"{p}left")
-
-
-def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **kw) -> DataFrame:
-    """docs without the rejected rows and, in the rows that stay, without the lines above the limits: docs' columns."""
-    v = verdicts(docs, id_col, text_col, host_col, carry=True, **kw).where("__kept")
-    return v.select(*[F.col("__text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = located(docs)
+    judged = stage(_judged(rows, id_col, text_col, host_col, least_docs, fraction, keep_words, most_docs).where("not kept or gone is not null").select(FILE, ROW, "kept", "gone"), "quality-verdict")
+    same = without(rows, judged)
+    cut = judged.where("kept").select(F.col(FILE).alias("c_file"), F.col(ROW).alias("c_row"), "gone")
+    some = marked(rows, bitmaps(judged.where("kept")), "__sig_in").where("__sig_in")
+    some = some.join(cut.withColumnRenamed("gone", "__sig_gone"), (F.col(FILE) == F.col("c_file")) & (F.col(ROW) == F.col("c_row")))
+    lines = F.split(F.col(text_col), "\n")
+    stay = _let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__sig_gone")), lambda i: F.get(x, i)), "\n"))
+    return same.unionByName(some.select(*[stay.alias(c) if c == text_col else F.col(c) for c in docs.columns]))
