@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigspark.llm import near_dedup
 from sigspark.llm.components import components
-from sigspark.llm.exact_dedup import decisions, drop_copies
+from sigspark.llm.exact_dedup import decisions, drop_copies, possibly_repeated, ranges
 from sigspark.llm.near_dedup import drop_near_copies, near_duplicates
+from sigspark.llm.rows import FILE, ROW, bitmaps, located, marked
 from sigspark.llm.substring_dedup import earlier_windows, spans_of, substring_dedup, whole_keys
 from sigspark.llm.textnp import window_hashes, words_of
 
@@ -134,6 +136,54 @@ def test_near_group_that_links_only_in_part(spark):
     assert table(near_duplicates(df, block=8)) == brute_near(rows, 85)
 
 
+def test_near_long_chain(spark):
+    """20,000 documents, each an edit of the one before: one component by links of neighbours only."""
+    n = 20_000
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: F.concat(F.lit("w"), i.cast("string"), F.lit("x"), F.floor((F.col("id") + i * 7) / 80).cast("string"))), " ")
+    df = spark.range(n).select((F.col("id") * 7919 % n).alias("doc_id"), text.alias("text"))
+    got = near_duplicates(df).groupBy("component_id").count().collect()
+    assert [tuple(r) for r in got] == [(0, n)]
+
+
+def test_near_large_group_of_different_copies_sends_rows_in_proportion(spark):
+    """n different near copies of one another send n star rows, and nothing is left for pairs of blocks."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[: i % 118], f"own{i}", *words[i % 118 :]])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    staged = {}
+    real = near_dedup.stage
+
+    def spy(d, name):
+        out = real(d, name)
+        staged[name] = staged.get(name, 0) + out.count()
+        return out
+
+    near_dedup.stage = spy
+    try:
+        got = near_duplicates(df).groupBy("component_id").count().collect()
+    finally:
+        near_dedup.stage = real
+    assert [tuple(r) for r in got] == [(0, 3000)]
+    assert staged["near-stars"] < 8 * 3000 and staged.get("near-met", 0) < 3000
+
+
+def test_near_rows_that_repeat_an_id_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (9, b), (7, b + " more"), (3, "own text"), (3, "own text")], "doc_id bigint, text string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df).collect()} == {(1, 1), (5, 1), (9, 1), (7, 1), (3, 3)}
+    assert sorted(r.doc_id for r in drop_near_copies(df).collect()) == [1, 3]
+
+
+def test_lists_merge_and_skip():
+    r = np.random.default_rng(1)
+    posts = r.integers(0, 4, (60, 9))
+    posts = posts * 9 + np.arange(9)
+    lists = near_dedup.Lists(posts)
+    for p in range(60):
+        want = [q for q in range(p + 1, 60) if (posts[p] == posts[q]).sum() >= 3]
+        assert lists.partners(p, 3).tolist() == want
+
+
 def test_near_odd_and_empty(odd, nothing, docs):
     assert near_duplicates(nothing).count() == 0
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(odd).collect()}
@@ -160,12 +210,41 @@ def brute_exact(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("bits", [1 << 29, 1 << 5])
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 8])
 def test_exact(clashing, rows, bits):
     got = decisions(clashing, max_bits=bits).select("id", "keep_id", "group_size", "kept", "text_sha256")
     assert table(got) == brute_exact(rows)
 
 
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 12])
+def test_exact_small_filters_let_few_unique_rows_meet(spark, bits):
+    """However small a range's filter is, about one unique row in twenty goes into the shuffle."""
+    rows = spark.range(2000).selectExpr("id", "unhex(sha2(cast(id % 1990 as string), 256)) as sha").selectExpr("*", "xxhash64(sha) as h")
+    count, cells = ranges(2000, bits)
+    assert cells <= max(bits, 1 << 15) and count == (1 if bits > 16000 else 4)
+    met = 0
+    for i in range(count):
+        part = rows.where(F.pmod(F.shiftright("h", 40), F.lit(count)) == i)
+        met += possibly_repeated(part, cells).where("again").count()
+    assert 20 <= met <= 20 + 200
+
+
+def test_drop_copies_of_rows_read_from_files(spark, docs, rows, tmp_path):
+    """Texts stay where they are: no exchange on the texts' side, the same rows as without files."""
+    docs.withColumn("_extra", F.lit(1)).write.parquet(str(tmp_path / "d"))
+    left = drop_copies(spark.read.parquet(str(tmp_path / "d")).where("doc_id is not null"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(r[0] for r in brute_exact(rows) if r[3])
+    assert "Exchange hashpartitioning" not in left._jdf.queryExecution().toString()
+
+
+def test_marks_beyond_the_bound_of_a_broadcast(spark, docs, tmp_path):
+    docs.write.parquet(str(tmp_path / "d"))
+    d = located(spark.read.parquet(str(tmp_path / "d")))
+    maps = bitmaps(d.where("doc_id % 3 = 0").select(FILE, ROW))
+    for most in (0, 10):
+        assert marked(d, maps, "hit", most).where("hit <> (doc_id % 3 = 0)").count() == 0
+
+
 def test_exact_large_group(spark):
     rows = [(i, f"same {'' if i % 2 else ' '}text" if i % 3 else f"own {i}", None, None, 0) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")

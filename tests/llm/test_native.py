@@ -168,9 +168,8 @@ def test_quality(clashing, rows, least, fraction):
 
 
 @pytest.mark.parametrize("n,shared", [(4, 3), (400, 11)])
-def test_quality_limits(spark, n, shared, monkeypatch):
+def test_quality_limits(spark, n, shared):
     """A repeated line goes from a host of 4 documents and, in 11 of 400, from a large one; one at the limit stays."""
-    monkeypatch.setattr(quality, "BROADCAST_LINES", 0 if n > 4 else quality.BROADCAST_LINES)
     own = lambda i: " ".join("x" * (i // 20 + 1) + chr(97 + i % 20) + chr(97 + j) for j in range(12))
     text = lambda i: own(i) + "\nShare this page" * (i < shared) + "\nstays here" * (i < shared - 1)
     df = spark.createDataFrame([(i, text(i), "host") for i in range(n)], "doc_id bigint, text string, source string")
@@ -233,9 +232,38 @@ def test_sequence_takes_effect(docs, rows):
     assert dict(got) == {i: n for i, n in want.items() if n}
 
 
+def test_sequence_order_and_rows_that_repeat_an_id(spark, docs):
+    """Each row of an id is taken by its own plan; positions rise from file to file, but for rows of one block."""
+    rows = [(i // 3, " ".join(f"w{i}x{j}" for j in range(1 + i % 7)), None, f"s{i % 2}", 0) for i in range(300)]
+    df = spark.createDataFrame(rows, docs.schema)
+    want = plan(df).collect()
+    seq = sequence(df, part_words=50).withColumn("part", F.spark_partition_id()).collect()
+    got, full = Counter(), Counter()
+    for r in seq:
+        got[r.doc_id] += len(WORD.findall(r.text))
+        full[r.doc_id, r.text] += 1
+    need = Counter()
+    for r in want:
+        need[r.id] += r.taken
+    assert got == need
+    # A row that is taken whole twice is there twice, with its own words.
+    text = {(i, len(WORD.findall(t))): t for i, t, *_ in rows}
+    assert all(full[r.id, text[r.id, r.size]] >= 2 for r in want if r.taken == 2 * r.size)
+    first = {(r.id, r.size): r.first_position for r in want}
+    by_part = defaultdict(list)
+    for r in seq:
+        p = first.get((r.doc_id, len(WORD.findall(r.text))))
+        if p is not None and full[r.doc_id, r.text] == 1:
+            by_part[r.part].append(p)
+    means = [sum(v) / len(v) for _, v in sorted(by_part.items()) if v]
+    assert len(means) > 5 and means == sorted(means)
+
+
 def test_mixing_odd_and_empty(odd, nothing):
     assert plan(nothing).count() == 0 and sequence(nothing).count() == 0
     assert plan(odd).count() == 7
+    taken = sum(r.taken for r in plan(odd).collect())
+    assert sum(len(WORD.findall(r.text)) for r in sequence(odd).collect()) == taken
 
 
 def test_sharding(clashing, rows):
