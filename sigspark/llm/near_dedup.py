@@ -38,7 +38,7 @@ from .workspace import stage
 
 SHINGLE = 5
 COORDINATES, ROWS = 28, 3
-PART, BLOCK, BLOCK_SHINGLES = 256, 2048, 1 << 21
+PART, BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 21
 BITS = 12
 _rng = np.random.Generator(np.random.PCG64(0xC0FFEE))
 MULTIPLY = _rng.integers(0, 2**63, COORDINATES * ROWS, dtype=np.uint64) * U(2) + U(1)
@@ -204,6 +204,15 @@ def _dealt(rows: DataFrame, keys: list[str], then: list[str]) -> DataFrame:
     return rows.repartition(n, *keys).sortWithinPartitions(*keys, *then)
 
 
+def _met(rows: DataFrame, key: str, side: DataFrame, side_key: str, large: int) -> DataFrame:
+    """rows joined with side, a staged table with a size for each key. Keys of over ``large`` rows, a thousandth of all rows
+    and so a thousand times the coordinates at most, are broadcast: no task gets all rows of such a key."""
+    hot = F.broadcast(side.where(F.col("size") > large))
+    on = F.col(key) == F.col(side_key)
+    cold = rows.join(hot.select(side_key), on, "left_anti").join(side.where(F.col("size") <= large), on)
+    return rows.join(hot, on).unionByName(cold).drop(side_key)
+
+
 def star_links(docs: DataFrame, reps: DataFrame, work: DataFrame, text_col: str, percent: int, matches: int) -> DataFrame:
     """(u, v) links of members with the leaders of their lists, staged."""
     pairs = work.where("rep <> leader").select("leader", "rep").distinct()
@@ -241,21 +250,22 @@ def star_links(docs: DataFrame, reps: DataFrame, work: DataFrame, text_col: str,
     return stage(full.mapInArrow(confirm, "u bigint, v bigint"), "near-links")
 
 
-def rest_links(docs: DataFrame, reps: DataFrame, work: DataFrame, comp: DataFrame, text_col: str, percent: int, matches: int, block: int) -> DataFrame | None:
+def rest_links(docs: DataFrame, reps: DataFrame, work: DataFrame, comp: DataFrame, text_col: str, percent: int, matches: int, block: int, large: int) -> DataFrame | None:
     """(u, v) links between components, of pairs without the leader of their list; None if no list is open."""
     named = work.where("size > 2").join(comp, F.col("rep") == F.col("u"), "left").select("key", "leader", "rep", F.coalesce("v", "rep").alias("comp"))
-    lists = named.groupBy(F.col("key").alias("o_key")).agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b")
-    group = stage(named.join(lists, F.col("key") == F.col("o_key")).select("leader", "rep", "comp").distinct(), "near-open")
-    if group.isEmpty():
+    lists = named.groupBy(F.col("key").alias("o_key")).agg(F.min("comp").alias("a"), F.max("comp").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b")
+    lists = stage(lists.select("o_key", "size"), "near-open-lists")
+    if lists.isEmpty():
         return None
     posts = reps.select(F.col("rep").alias("r_rep"), "posts", "n_shingles", FILE, ROW)
-    group = stage(group.join(posts, F.col("rep") == F.col("r_rep")).drop("r_rep"), "near-open-posts")
+    group = _met(named, "key", lists, "o_key", large).select("leader", "rep", "comp").distinct()
+    group = stage(group.join(posts, F.col("rep") == F.col("r_rep")).drop("r_rep"), "near-open")
     count = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    large = stage(group.groupBy(F.col("leader").alias("l_leader")).agg(count.alias("blocks")).where("blocks > 1"), "near-large")
+    many = group.groupBy(F.col("leader").alias("l_leader")).agg(count.alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j"), own.alias("side")))
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    dealt = group.join(large, F.col("leader") == F.col("l_leader"), "left").withColumn("p", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(pairs)))
+    dealt = group.join(many, F.col("leader") == F.col("l_leader"), "left").withColumn("p", F.explode(F.when(F.col("blocks").isNull(), one).otherwise(pairs)))
     dealt = dealt.select("leader", "p.i", "p.j", "p.side", "rep", "comp", "posts", FILE, ROW)
     names, kinds = ["leader", "i", "j", "side", "rep", "comp"], "leader bigint, i int, j int, side int, rep bigint, comp bigint"
 
@@ -266,7 +276,9 @@ def rest_links(docs: DataFrame, reps: DataFrame, work: DataFrame, comp: DataFram
         return table.filter(pa.array(with_partners(comps, sides, posts, matches)))
 
     full_kind = f"{kinds}, posts array<bigint>, {FILE} string, {ROW} bigint"
-    wanted = stage(dealt.groupBy("leader", "i", "j").applyInArrow(meet, full_kind), "near-met")
+    # Numbered partitions: a few rows may be much work here, so Spark isn't to put partitions together.
+    n = max(12, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    wanted = stage(dealt.repartition(n, "leader", "i", "j").groupBy("leader", "i", "j").applyInArrow(meet, full_kind), "near-met")
     if wanted.isEmpty():
         return None
 
@@ -281,7 +293,7 @@ def rest_links(docs: DataFrame, reps: DataFrame, work: DataFrame, comp: DataFram
         found = links_within(ids, comps, _posts(table.column("posts").combine_chunks()), np.concatenate(flats), begins, percent, matches)
         return pa.Table.from_batches([_edges(found)])
 
-    return stage(_texts(docs, text_col, wanted.select(*names, "posts", FILE, ROW)).groupBy("leader", "i", "j").applyInArrow(confirm, "u bigint, v bigint"), "near-links")
+    return stage(_texts(docs, text_col, wanted.select(*names, "posts", FILE, ROW)).repartition(n, "leader", "i", "j").groupBy("leader", "i", "j").applyInArrow(confirm, "u bigint, v bigint"), "near-links")
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, matches: int | None, block: int) -> DataFrame:
@@ -292,21 +304,20 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, percent: int, matches:
     sets = rows.where("n_shingles > 0 and id is not null")
     first = F.min(F.struct("id", FILE, ROW, "n_shingles", "posts")).alias("r")
     classes = stage(sets.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("size")).select("k1", "k2", "size", F.col("r.id").alias("rep"), f"r.{FILE}", f"r.{ROW}", "r.n_shingles", "r.posts"), "near-classes")
-    posts = classes.select("rep", F.explode(F.slice("posts", 1, COORDINATES - matches + 1)).alias("key")).distinct()
+    posts = classes.select("rep", F.explode(F.slice("posts", 1, COORDINATES - matches + 1)).alias("key"))
     lists = posts.groupBy(F.col("key").alias("l_key")).agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    work = stage(posts.join(lists, F.col("key") == F.col("l_key")).drop("l_key"), "near-work")
+    large = max(64, n // 1000)
+    work = stage(_met(posts, "key", stage(lists, "near-lists"), "l_key", large), "near-work")
     # Rows that repeat an id with other texts lie in several classes, which they link.
     names = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("rep").alias("v"))
     twice = sets.groupBy(F.col("id").alias("d_id")).agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b")
     again = sets.join(twice, F.col("id") == F.col("d_id")).join(names, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))).select(F.col("id").alias("u"), "v")
-    links = stage(star_links(docs, classes, work, text_col, percent, matches).unionByName(again), "near-star-links")
-    comp = components(links)
-    more = rest_links(docs, classes, work, comp, text_col, percent, matches, block)
+    comp = components(star_links(docs, classes, work, text_col, percent, matches).unionByName(again))
+    more = rest_links(docs, classes, work, comp, text_col, percent, matches, block, large)
     if more is not None:
         comp = components(comp.unionByName(more))
     named = classes.join(comp, classes["rep"] == comp["u"], "left").select("k1", "k2", "size", F.coalesce("v", "rep").alias("component_id"))
     # Classes of over a thousandth of all rows, a thousand at most, are broadcast to salt their rows.
-    large = max(64, n // 1000)
     salts = F.when(F.col("size") > large, F.ceil(F.col("size") / large)).otherwise(F.lit(1)).cast("int")
     hot = classes.where(F.col("size") > large).select(F.col("k1").alias("h1"), F.col("k2").alias("h2"), salts.alias("salts"))
     thin = rows.select("id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("k1")).alias("r1"), F.col("k2").alias("r2"), FILE, ROW)
