@@ -1,11 +1,12 @@
 """Token counts by a map-side two-tier lookup.
 
-A first scan counts chunks inside each task and keeps each task's most frequent ones (a bounded summary); the overall
-most frequent ``TIER_ONE`` get their lengths on the driver and are broadcast as one compact table. The second scan adds
-up lengths: frequent chunks from the table, others from a bounded cache in each Python worker that the tokenizer fills.
-No chunk of a text is shuffled; only the bounded summaries are.
+The first tier is a compact table of the token counts of frequent chunks, broadcast. Which chunks are in it changes the
+speed and never a result, so it is fitted on a sample: the first ``SAMPLE_ROWS`` rows, ``SAMPLE_BYTES`` of them at most,
+give up to ``TIER_ONE`` chunks. Every text is then scanned once: frequent chunks are looked up in the table, others in a
+bounded cache in each Python worker that the tokenizer fills. No chunk is shuffled.
 
-Defined results: a null or blank text has 0 tokens; a null text 0 bytes; rows repeat as given; other columns are ignored.
+Defined results: a null or blank text has 0 tokens; a null text 0 bytes; texts of any length are taken whole; rows repeat
+as given; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .codec import ChunkCache, encode_chunks, split
 
 TIER_ONE = 20_000
-PER_TASK = 4_096
+SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
 _caches: dict = {}
 
 
@@ -28,22 +29,21 @@ def _texts(column: pa.Array):
     return ((x.as_buffer().to_pybytes() if x.is_valid else b"") for x in column.cast(pa.large_binary()))
 
 
-def frequent(docs: DataFrame, text_col: str = "text", most: int = TIER_ONE, per_task: int = PER_TASK) -> list[bytes]:
-    """The most frequent chunks, from each task's bounded summary."""
+def frequent(docs: DataFrame, text_col: str = "text", most: int = TIER_ONE, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[bytes]:
+    """The most frequent chunks of the sample."""
 
-    def summarise(batches):
+    def count(batches):
         seen: Counter = Counter()
+        left = size
         for b in batches:
             for text in _texts(b.column(0)):
-                seen.update(split(text))
-                if len(seen) > 300_000:
-                    seen = Counter(dict(seen.most_common(100_000)))
-        top = seen.most_common(per_task)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([v for _, v in top], pa.int64())], ["chunk", "n"])
-
-    found = docs.select(text_col).mapInArrow(summarise, "chunk binary, n bigint")
-    top = found.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(most)
-    return [bytes(r.chunk) for r in top.select("chunk").collect() if len(r.chunk) < 200]
+                if left > 0:
+                    seen.update(split(text))
+                left -= len(text)
+        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top if len(k) < 200][:most], pa.binary())], ["chunk"])
+
+    return [bytes(r.chunk) for r in docs.select(text_col).limit(rows).mapInArrow(count, "chunk binary").collect()]
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
