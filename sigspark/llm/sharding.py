@@ -5,8 +5,10 @@ to the smallest draw. A changed weight changes only that child's draws, so rows
 whose weight changes. ``grow`` adds a shard as a region of its own with weight 1: rows move only into the new shard.
 
 Only a key, its size and a shard number are dealt; slots come from counts of (shard, hash block), so that no task
-holds a whole shard. Defined results: a null key is the string of its own; equal keys share a shard and take
-different slots; an empty table gives an empty result; other columns are ignored.
+holds a whole shard. A row's place in a shard is by a hash of key and text, so that rows of one key lie in many blocks.
+Defined results: a null key is a string of its own; a null text has no bytes; equal keys share a shard and take different
+slots, in the same order in each run; texts of any length are taken whole; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Hash blocks of a shard; a block's rows are numbered in one task, and shards times BLOCKS counts are broadcast.
-BLOCKS = 1024
+#: Hex digits of a shard's hash blocks; a block's rows are numbered in one task, and 16^DIGITS counts of each shard are broadcast.
+DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -69,16 +71,17 @@ def key_of(column: Column) -> Column:
 def shard_rows(docs: DataFrame, tree: ShardTree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard)."""
     key, text = key_of(F.col(id_col)), F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), key.alias("key"), F.xxhash64(key).alias("h"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), key.alias("key"))
+    rows = rows.withColumn("h", F.md5(F.concat("key", F.lit("|"), "text_crc32")))
     rows = tree.grow().place(tree.place(rows, "key", "shard"), "key", "grown_shard")
-    return with_slots(rows, "shard", BLOCKS).select(F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(rows, "shard", DIGITS).select(F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def with_slots(rows: DataFrame, group: str, blocks: int) -> DataFrame:
-    """slot: gapless numbers from 0 in each group. rows has h, a hash that orders a group's rows."""
-    blocked = rows.withColumn("block", F.pmod(F.col("h"), F.lit(blocks)).cast("int"))
+def with_slots(rows: DataFrame, group: str, digits: int) -> DataFrame:
+    """slot: gapless numbers from 0 in each group. rows has h, a hex hash that orders a group's rows, and id, text_crc32 and size for ties."""
+    blocked = rows.withColumn("block", F.substring("h", 1, digits))
     counts = blocked.groupBy(group, "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(F.col(group).alias("__g"), F.col("block").alias("__b"), (F.sum("n").over(Window.partitionBy(group).orderBy("block")) - F.col("n")).alias("base"))
-    within = F.row_number().over(Window.partitionBy(group, "block").orderBy("h", "id"))
+    within = F.row_number().over(Window.partitionBy(group, "block").orderBy("h", "id", "text_crc32", "size"))
     numbered = blocked.withColumn("rank", within)
     return numbered.join(F.broadcast(before), (F.col(group) == F.col("__g")) & (F.col("block") == F.col("__b"))).withColumn("slot", (F.col("base") + F.col("rank") - 1).cast("long"))
