@@ -1,14 +1,20 @@
 """Packing by lexical retrieval: a sharded BM25 index supplies unused neighbours that fill each seed's window.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` rows and ``SHARD_BYTES`` bytes by a hash of id and text. A shard
-indexes all words of its documents (BM25; document counts and mean length are those of the whole corpus). Its token
-stream grows greedily: a seed opens a window, its unused neighbours follow in score order, the one that crosses the
-window's end is cut and seeds the next; without neighbours left the first unused document goes on. So only a shard's
-last window is padded. The query of a seed is all its words. Only the seed's own shard is searched: neighbours in other
-shards are not found, and are packed there.
-
-Defined results: a null or blank text is the end id alone; repeated rows are packed each; a null id stays null; an
-empty table gives an empty result; other columns are ignored.
+Shards are runs of lexically close documents: a document's keys are the least hashes of its words (min-hashes), so two
+documents meet under a key with odds of their share of common words. Documents are dealt to partitions by ranges of the
+first key, sorted by all keys, and a partition is cut into shards of ``SHARD_ROWS`` rows or ``SHARD_BYTES`` bytes as it is
+read. The ranges come from the quantiles of all documents' keys; a key that fills several ranges (copies) is spread over
+them by a hash of id and text. Only a seed's own shard is searched.
+
+A shard indexes all words of its documents. BM25 weighs words by the whole corpus' document counts and mean length; counts
+are held by ``CELLS`` cells of word hashes, a table of fixed size that can overstate rare words' counts, never understate.
+A partition's token stream grows greedily: a seed opens a window, its unused neighbours follow in score order, the one
+that crosses the window's end is cut and seeds the next; without neighbours left the first unused document goes on. The
+query of a seed is all its words; a row with the seed's id is no neighbour. The stream goes on from shard to shard, so
+only a partition's last window is padded.
+
+Defined results: a null or blank text is the end id alone; repeated rows are packed each; a null id stays null; texts of
+any length are taken whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,14 +24,21 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import ChunkCache, split
-from .textnp import U, Words, slices, words_of
+from .textnp import U, Words, mix, slices, words_of
+from .workspace import stage
 
 WINDOW, END_ID = 2048, 1
-SHARD_ROWS, SHARD_BYTES = 2048, 16 << 20
+SHARD_ROWS, SHARD_BYTES = 1024, 16 << 20
+CELL_BITS = 20
+CELLS = 1 << CELL_BITS
+#: Bytes of text of a partition.
+PART_BYTES = 32 << 20
+SALTS = (0x1234567, 0x89ABCDEF01, 0x5DEECE66D)
 K1, B = 1.2, 0.75
 _caches: dict[str, ChunkCache] = {}
 
@@ -33,11 +46,11 @@ _caches: dict[str, ChunkCache] = {}
 class Index:
     """BM25 over the documents of a shard; words that only one of them has can't find another and are left out.
 
-    ``corpus``: number of documents, mean words of one, and (sorted word hashes, documents that have them) of a larger
-    corpus; without it the shard is the corpus.
+    ``corpus``: number of documents, mean words of one, and document counts by cell of a larger corpus; without it the
+    shard is the corpus.
     """
 
-    def __init__(self, parts: list[Words], k1: float = K1, b: float = B, corpus: tuple[int, float, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, parts: list[Words], k1: float = K1, b: float = B, corpus: tuple[int, float, np.ndarray] | None = None):
         self.n = sum(len(w.first) - 1 for w in parts)
         # One sort of (word, document): words keep the bits that the document's number leaves.
         bits = U(max(1, self.n.bit_length()))
@@ -61,24 +74,27 @@ class Index:
         df = np.diff(np.append(first, len(term)))
         n, mean, count = self.n, max(1.0, float(size.mean())) if len(size) else 1.0, df
         if corpus:
-            n, mean, known, counts = corpus
-            at = np.minimum(np.searchsorted(known >> bits, term[first]), max(0, len(known) - 1))
-            count = np.where((known >> bits)[at] == term[first], counts[at], df) if len(known) else df
+            n, mean, counts = corpus
+            count = np.maximum(df, counts[((key[first] >> U(64 - CELL_BITS))).astype(np.int64)])
         self.idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
-        self.docs = owner
+        self.docs = owner.astype(np.int32)
         self.weights = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
         self.begin = np.append(first, len(term))
         by_doc = np.argsort(owner, kind="stable")
         self.entry = np.repeat(np.arange(len(df)), df)[by_doc]
         self.doc_begin = np.searchsorted(owner[by_doc], np.arange(self.n + 1))
 
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of each document for the words of this one."""
+        e = self.entry[self.doc_begin[doc] : self.doc_begin[doc + 1]]
+        size = self.begin[e + 1] - self.begin[e]
+        upto = np.cumsum(size)
+        at = np.repeat(self.begin[e] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
+        return np.bincount(self.docs[at], self.weights[at], self.n)
+
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a word, best first."""
-        score = np.zeros(self.n)
-        for e in self.entry[self.doc_begin[doc] : self.doc_begin[doc + 1]].tolist():
-            a, b = self.begin[e], self.begin[e + 1]
-            score[self.docs[a:b]] += self.weights[a:b]
-        score *= unused
+        score = self.scores(doc) * unused
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -134,11 +150,11 @@ def ids_of(w: Words, raw: pa.Array, cache: ChunkCache, end: bytes) -> tuple[np.n
     return flat, offsets
 
 
-def order_of(index: Index, lengths: list[int], window: int) -> list[int]:
-    """The order in which a shard's documents follow one another."""
+def order_of(index: Index, lengths: list[int], window: int, at: int = 0, names: np.ndarray | None = None) -> list[int]:
+    """The order in which a shard's documents follow one another after ``at`` tokens; rows of one name aren't neighbours."""
     unused = np.ones(index.n, bool)
     order: list[int] = []
-    at, lowest, queue = 0, 0, iter(())
+    lowest, queue = 0, iter(())
     for _ in range(index.n):
         pick = next((int(d) for d in queue if unused[d]), None)
         if pick is None:
@@ -150,69 +166,116 @@ def order_of(index: Index, lengths: list[int], window: int) -> list[int]:
         order.append(pick)
         before, at = at // window, at + lengths[pick]
         if queue is None or at // window != before:
-            queue = iter(index.neighbours(pick, unused))
+            queue = iter(index.neighbours(pick, unused if names is None else unused & (names != names[pick])))
     return order
 
 
-def corpus_counts(dealt: DataFrame) -> DataFrame:
-    """(shard, word, total): a shard's words with the documents of all shards that have them; the null word has the number of all words.
+def keys_of(w: Words) -> list[np.ndarray]:
+    """Min-hashes of each document's words, of 52 bits as quantiles are computed in doubles; the greatest number without words."""
+    has = np.flatnonzero(np.diff(w.first))
+    out = []
+    for salt in SALTS:
+        key = np.full(len(w.first) - 1, (1 << 52) - 1, np.uint64)
+        if len(has):
+            key[has] = np.minimum.reduceat(mix(w.hashes ^ U(salt)), w.first[:-1][has]) >> U(12)
+        out.append(key.view(np.int64))
+    return out
 
-    Words that only one document of the shard has find nothing there and are left out. dealt has shard and text.
-    """
 
-    def count(table: pa.Table) -> pa.Table:
-        parts = words_in(table.column("text").combine_chunks())
-        word, docs = word_counts(parts)
-        shard = table.column("shard")[0].as_py() if table.num_rows else 0
-        words = pa.concat_arrays([pa.array(word.view(np.int64)), pa.nulls(1, pa.int64())])
-        return pa.table({"shard": pa.array(np.full(len(words), shard), pa.int64()), "word": words, "docs": np.append(docs, sum(len(w.hashes) for w in parts))})
+def surveyed(texts: DataFrame) -> DataFrame:
+    """(cell, n, key) of all texts, staged: documents by cell of their words, and with cell -1 each text's words and first key."""
 
-    counted = dealt.groupBy("shard").applyInArrow(count, "shard bigint, word bigint, docs bigint")
-    return counted.withColumn("total", F.sum("docs").over(Window.partitionBy("word"))).where("docs > 1 or word is null").select("shard", "word", "total")
+    def survey(batches):
+        for b in batches:
+            for w in words_in(b.column(0)):
+                word, n = word_counts([w])
+                total = np.bincount((word >> U(64 - CELL_BITS)).astype(np.int64), n, CELLS).astype(np.int64)
+                cells, sizes = np.flatnonzero(total), np.diff(w.first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, np.full(len(sizes), -1)).astype(np.int32)), pa.array(np.append(total[cells], sizes)), pa.array(np.append(np.zeros(len(cells), np.int64), keys_of(w)[0]))], ["cell", "n", "key"])
+
+    found = texts.mapInArrow(survey, "cell int, n bigint, key bigint")
+    return stage(found, "packing-survey")
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
-    n, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
-    shards = max(1, -(-n // shard_rows), -(-(size or 0) // shard_bytes))
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = surveyed(rows.select("text"))
+    own = found.where("cell < 0")
+    n, words = own.agg(F.count(F.lit(1)), F.sum("n")).first()
+    # About seven bytes a word; the number of partitions needs no more.
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), (words or 0) * 7 // PART_BYTES)
+    shares = [i / parts for i in range(1, parts)]
+    bounds = own.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts))).first()[0] or []
+    cells = found.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast((np.array(bounds, np.int64), counts, n, max(1.0, (words or 0) / max(1, n))))
     end = np.array([end_id], "<u4").tobytes()
 
-    def fill(table: pa.Table, counts: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        shard = table.column("shard")[0].as_py() if table.num_rows else 0
-        table = table.sort_by([("id", "ascending"), ("text", "ascending")])
-        texts = table.column("text").cast(pa.large_string()).fill_null("").combine_chunks()
+    def deal(batches):
+        limits = shared.value[0]
+        for b in batches:
+            keys = [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
+            low, high = np.searchsorted(limits, keys[0]), np.searchsorted(limits, keys[0], "right")
+            part = low + b.column(2).to_numpy() % (high - low + 1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), *map(pa.array, keys)], ["id", "text", "part", "k1", "k2", "k3"])
+
+    def shards(batches):
+        """Runs of rows of a partition that make a shard."""
+        held, size = [], 0
+        for b in batches:
+            at = 0
+            ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False))
+            while at < b.num_rows:
+                rows = sum(h.num_rows for h in held)
+                done = int(ends[at - 1]) if at else 0
+                to = min(at + shard_rows - rows, max(at + (not held), int(np.searchsorted(ends, done + shard_bytes - size, "right"))), b.num_rows)
+                if to > at:
+                    held.append(b.slice(at, to - at))
+                    size += int(ends[to - 1]) - done
+                if to < b.num_rows or rows + to - at >= shard_rows:
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+                at = to
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def fill(batches):
         cache = _caches.setdefault(path, ChunkCache(path, as_ids=True))
-        parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
-        for w in parts:
-            flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end)
-            ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
-        lengths = [len(x) for x in ids]
-        every = pc.is_null(counts.column("word"))
-        total = pc.sum(counts.filter(every).column("total")).as_py() or 0
-        counts = counts.filter(pc.invert(every))
-        known = counts.column("word").to_numpy().view(np.uint64)
-        by_word = np.argsort(known)
-        corpus = n, max(1.0, total / max(1, n)), known[by_word], counts.column("total").to_numpy()[by_word]
-        doc, start, length, crc, sequence, offset = [], [], [], [], [], []
+        corpus = (shared.value[2], shared.value[3], shared.value[1])
+        first = TaskContext.get().partitionId() << 32
         at = 0
-        for d in order_of(Index(parts, corpus=corpus), lengths, window):
-            done, own = 0, ids[d]
-            while done < lengths[d]:
-                take = min(window - at % window, lengths[d] - done)
-                doc.append(d)
-                start.append(done)
-                length.append(take)
-                crc.append(zlib.crc32(own[done : done + take]))
-                sequence.append((shard << 32) | (at // window))
-                offset.append(at % window)
-                done, at = done + take, at + take
-        took = pa.array(doc, pa.int64())
-        tokens = pa.array(np.array(lengths, np.int64)[np.array(doc, np.int64)] if doc else [], pa.int64())
-        columns = [table.column("id").combine_chunks().take(took), *(pa.array(x, pa.int64()) for x in (start, length, crc)), tokens, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
-        return pa.Table.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        for table in shards(batches):
+            texts = table.column("text").cast(pa.large_string()).combine_chunks()
+            names = table.column("id").combine_chunks()
+            parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
+            for w in parts:
+                flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end)
+                ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+            lengths = [len(x) for x in ids]
+            doc, start, length, crc, sequence, offset = [], [], [], [], [], []
+            code = names.dictionary_encode()
+            code = np.where(names.is_null().to_numpy(zero_copy_only=False), -1 - np.arange(len(names)), code.indices.fill_null(0).to_numpy(zero_copy_only=False))
+            for d in order_of(Index(parts, corpus=corpus), lengths, window, at, code):
+                done, own = 0, ids[d]
+                while done < lengths[d]:
+                    take = min(window - at % window, lengths[d] - done)
+                    doc.append(d)
+                    start.append(done)
+                    length.append(take)
+                    crc.append(zlib.crc32(own[done : done + take]))
+                    sequence.append(first | (at // window))
+                    offset.append(at % window)
+                    done, at = done + take, at + take
+            took = pa.array(doc, pa.int64())
+            tokens = pa.array(np.array(lengths, np.int64)[np.array(doc, np.int64)], pa.int64())
+            columns = [names.take(took), *(pa.array(x, pa.int64()) for x in (start, length, crc)), tokens, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = docs.select(F.pmod(F.xxhash64(id_col, text_col), F.lit(shards)).alias("shard"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = dealt.groupBy("shard").cogroup(corpus_counts(dealt).groupBy("shard")).applyInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
-    return out.withColumnRenamed("id", id_col)
+    spread = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1)).alias("spread")
+    dealt = rows.select("id", "text", spread).mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint, k3 bigint")
+    close = dealt.repartitionById(parts, "part").sortWithinPartitions("k1", "k2", "k3", F.xxhash64("id", "text"), "id").select("id", "text")
+    return close.mapInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("id", id_col)

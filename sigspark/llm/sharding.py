@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Hex digits of a shard's hash blocks; a block's rows are numbered in one task, and 16^DIGITS counts of each shard are broadcast.
-DIGITS = 3
+#: Hash blocks of a shard, 4096 at most; a block's rows are numbered in one task, and shards times BLOCKS counts are broadcast.
+BLOCKS = 1024
 
 
 @dataclass(frozen=True)
@@ -74,12 +74,12 @@ def shard_rows(docs: DataFrame, tree: ShardTree, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("key").alias("law"), key.alias("key"))
     rows = rows.withColumn("h", F.md5(F.concat("key", F.lit("|"), "text_crc32")))
     rows = tree.grow().place(tree.place(rows, "key", "shard"), "key", "grown_shard")
-    return with_slots(rows, "shard", DIGITS).select(F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(rows, "shard", BLOCKS).select(F.col("id").alias(id_col), "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def with_slots(rows: DataFrame, group: str, digits: int) -> DataFrame:
+def with_slots(rows: DataFrame, group: str, blocks: int) -> DataFrame:
     """slot: gapless numbers from 0 in each group. rows has h, a hex hash that orders a group's rows, and id, text_crc32 and size for ties."""
-    blocked = rows.withColumn("block", F.substring("h", 1, digits))
+    blocked = rows.withColumn("block", F.floor(F.conv(F.substring("h", 1, 3), 16, 10).cast("int") * blocks / 4096).cast("int"))
     counts = blocked.groupBy(group, "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select(F.col(group).alias("__g"), F.col("block").alias("__b"), (F.sum("n").over(Window.partitionBy(group).orderBy("block")) - F.col("n")).alias("base"))
     within = F.row_number().over(Window.partitionBy(group, "block").orderBy("h", "id", "text_crc32", "size"))

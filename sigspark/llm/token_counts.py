@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup.
 
 The first tier is a compact table of the token counts of frequent chunks, broadcast. Which chunks are in it changes the
-speed and never a result, so it is fitted on a sample: the first ``SAMPLE_ROWS`` rows, ``SAMPLE_BYTES`` of them at most,
-give up to ``TIER_ONE`` chunks. Every text is then scanned once: frequent chunks are looked up in the table, others in a
+speed and never a result, so it is fitted on a sample: the first ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES`` bytes
+(16 MB in all, the bound of what reaches the driver) give up to ``TIER_ONE`` chunks. Every text is then scanned once: frequent chunks are looked up in the table, others in a
 bounded cache in each Python worker that the tokenizer fills. No chunk is shuffled.
 
 Defined results: a null or blank text has 0 tokens; a null text 0 bytes; texts of any length are taken whole; rows repeat
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .codec import ChunkCache, encode_chunks, split
 
 TIER_ONE = 20_000
-SAMPLE_ROWS, SAMPLE_BYTES = 4_000, 16 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 1_000, 16 << 10
 _caches: dict = {}
 
 
@@ -31,19 +31,11 @@ def _texts(column: pa.Array):
 
 def frequent(docs: DataFrame, text_col: str = "text", most: int = TIER_ONE, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> list[bytes]:
     """The most frequent chunks of the sample."""
-
-    def count(batches):
-        seen: Counter = Counter()
-        left = size
-        for b in batches:
-            for text in _texts(b.column(0)):
-                if left > 0:
-                    seen.update(split(text))
-                left -= len(text)
-        top = sorted(seen.items(), key=lambda x: (-x[1], x[0]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top if len(k) < 200][:most], pa.binary())], ["chunk"])
-
-    return [bytes(r.chunk) for r in docs.select(text_col).limit(rows).mapInArrow(count, "chunk binary").collect()]
+    text = F.col(text_col)
+    seen: Counter = Counter()
+    for r in docs.where(F.octet_length(text) <= size).select(text).take(rows):
+        seen.update(split(r[0].encode()))
+    return [k for k, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if len(k) < 200][:most]
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

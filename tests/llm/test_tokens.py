@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 from sigspark.llm.codec import ChunkCache, split, tokenizer  # noqa: E402
-from sigspark.llm.packing import Index, corpus_counts, order_of, pack, words_in  # noqa: E402
+from sigspark.llm.packing import CELL_BITS, CELLS, Index, order_of, pack, surveyed, words_in  # noqa: E402
 from sigspark.llm.queries import tokenizer_path  # noqa: E402
 from sigspark.llm.token_counts import token_counts  # noqa: E402
 from sigspark.llm.toxicity import best_words, held_out, toxicity, train  # noqa: E402
@@ -111,28 +112,89 @@ def test_query_has_all_words():
     assert set(found.tolist()) == {0, 1, 2, *range(4, 10)}
 
 
-def test_statistics_are_the_corpus(spark):
-    """A shard's words are weighed by the documents of all shards and by the mean length of all."""
+def brute_bm25(texts, n, df, mean, seed, k1=1.2, b=0.75):
+    """Scores of all texts for the words of one, word by word."""
+    words = [t.split() for t in texts]
+    out = np.zeros(len(texts))
+    for w in set(words[seed]):
+        if sum(w in x for x in words) < 2:
+            continue
+        idf = np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
+        for i, x in enumerate(words):
+            tf = x.count(w)
+            out[i] += idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(x) / mean))
+    return out
+
+
+def test_bm25_against_brute_force():
     import pyarrow as pa
 
     r = random.Random(4)
-    texts = [" ".join(r.choice([f"W{j}" for j in range(40)]) for _ in range(r.randrange(1, 30))) for _ in range(60)] + [None, ""]
-    docs = spark.createDataFrame([(i % 5, t) for i, t in enumerate(texts)], "shard bigint, text string")
-    got = corpus_counts(docs).collect()
-    sets = [set((t or "").split()) for t in texts]
-    totals = {w: sum(w in s for s in sets) for w in set().union(*sets)}
-    assert {x.total for x in got if x.word is None} == {sum(len((t or "").split()) for t in texts)}
-    for k in range(5):
-        shared = [w for w in totals if sum(w in s for s in sets[k::5]) > 1]
-        assert sorted(x.total for x in got if x.shard == k and x.word is not None) == sorted(totals[w] for w in shared)
-    # "a" is rare in the shard and frequent in the corpus, "b" the other way round.
-    parts = words_in(pa.array(["a b c", "a x y", "b x y", "b u v", "b u v"]))
-    hashes = {w: parts[0].hashes[i] for i, w in enumerate(["a", "b"])}
-    known = np.sort(np.array(list(hashes.values()), np.uint64))
-    counts = np.array([900 if h == hashes["a"] else 3 for h in known])
-    every = np.ones(5, bool)
-    assert Index(parts).neighbours(0, every)[1] == 1
-    assert Index(parts, corpus=(1000, 3.0, known, counts)).neighbours(0, every)[1] == 2
+    texts = [" ".join(r.choice([f"w{j}" for j in range(40)]) for _ in range(r.randrange(1, 30))) for _ in range(60)] + ["", "alone"]
+    parts = words_in(pa.array(texts))
+    df = {w: sum(w in t.split() for t in texts) for t in texts for w in t.split()}
+    mean = sum(len(t.split()) for t in texts) / len(texts)
+    index = Index(parts)
+    more = {w: 3 * c + len(w) for w, c in df.items()}
+    counts = np.zeros(CELLS, np.int64)
+    hashes = dict(zip([w for t in texts for w in t.split()], np.concatenate([p.hashes for p in parts]).tolist()))
+    for w, h in hashes.items():
+        counts[h >> (64 - CELL_BITS)] += more[w]
+    larger = Index(parts, corpus=(1000, 20.0, counts))
+    for seed in range(len(texts)):
+        assert np.allclose(index.scores(seed), brute_bm25(texts, len(texts), df, mean, seed))
+        assert np.allclose(larger.scores(seed), brute_bm25(texts, 1000, more, 20.0, seed))
+
+
+def test_order_is_greedy():
+    """The best unused neighbour of the window's seed follows; the document that crosses a window's end seeds the next."""
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice([f"w{j}" for j in range(50)]) for _ in range(r.randrange(1, 12))) for _ in range(40)]
+    index, lengths, window = Index(words_in(pa.array(texts))), [len(t.split()) for t in texts], 30
+    names = np.array([i // 2 for i in range(40)])
+    order, at, seed, used = order_of(index, lengths, window, 7, names), 7, None, set()
+    for d in order:
+        if seed is not None:
+            score = index.scores(seed)
+            left = [x for x in range(40) if x not in used and names[x] != names[seed] and score[x] > 0]
+            if left:
+                assert score[d] == max(score[x] for x in left)
+            else:
+                assert d == min(x for x in range(40) if x not in used)
+                seed = None
+        used.add(d)
+        before, at = at // window, at + lengths[d]
+        if seed is None or at // window != before:
+            seed = d
+    assert sorted(order) == list(range(40))
+
+
+def test_corpus_counts_and_close_documents_meet(spark):
+    r = random.Random(9)
+    topics = [[f"T{k}x{i}" for i in range(30)] for k in range(20)]
+    rows = [(i, " ".join(r.choice(topics[i % 20]) for _ in range(40))) for i in range(400)] + [(400, None), (401, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = surveyed(df.select("text")).collect()
+    assert sum(x.n for x in found if x.cell < 0) == 400 * 40 and sum(x.cell < 0 for x in found) == 402
+    assert sum(x.n for x in found if x.cell >= 0) == sum(len(set((t or "").split())) for _, t in rows)
+    got = pack(df, PATH, window=512, shard_rows=40).collect()
+    by: dict = {}
+    for x in got:
+        if x.doc_id < 400:
+            by.setdefault(x.sequence_id, set()).add(x.doc_id % 20)
+    # 20 topics dealt by chance would fill nearly every window with several.
+    assert sum(len(t) for t in by.values()) / len(by) < 2.2
+
+
+def test_pack_of_a_hot_key_is_spread(spark):
+    """Copies that hold most rows go to several partitions, and sequences stay whole."""
+    df = spark.createDataFrame([(i, "the same words here" if i % 3 else f"own{i} text") for i in range(900)], "doc_id bigint, text string")
+    got = pack(df, PATH, window=64).collect()
+    assert len(got) >= 900 and len({x.doc_id for x in got}) == 900
+    copies = Counter(x.sequence_id >> 32 for x in got if x.doc_id % 3)
+    assert len(copies) >= 6 and max(copies.values()) < 300
 
 
 def labelled(n=900, seed=5):
