@@ -162,3 +162,116 @@ def lowered(text: bytes) -> bytes:
 
 def split(text: bytes) -> list[bytes]:
     return lowered(text).split()
+
+
+def _class_table() -> np.ndarray:
+    """Of each byte: 1 a to z, 2 the first byte of U+00C0 to U+00FF, 4 a second byte of U+00DF to U+00FF but U+00F7, 8 a mark."""
+    out = np.zeros(256, np.uint8)
+    out[97:123] = 1
+    out[0xC3] = 2
+    out[0x9F:0xC0] = 4
+    out[0xB7] = 0
+    out[list(MARKS.encode())] = 8
+    return out
+
+
+CLASS = _class_table()
+
+
+def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of these words are lower-case letters below U+0100 and at most one mark behind them; which have the mark."""
+    kind = CLASS[data]
+    lead = kind == 2
+    second = (kind == 4) & np.concatenate((np.zeros(min(1, len(data)), bool), lead[:-1]))
+    letter = (kind == 1) | second | (lead & np.concatenate((second[1:], np.zeros(min(1, len(data)), bool))))
+    upto = np.concatenate(([0], np.cumsum(letter)))
+    marked = (kind[ends - 1] == 8) & (ends - starts > 1)
+    inner = ends - marked
+    return upto[inner] - upto[starts] == inner - starts, marked
+
+
+class WordIds:
+    """Ids of words by hash, as arrays: no object is made for a plain word. At most ``most`` words are held."""
+
+    def __init__(self, path: str, most: int = CACHED):
+        self.path, self.most, self.other = path, most, ChunkCache(path, as_ids=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = [np.zeros(0, np.uint32)]
+        self.used = 0
+
+    def flat(self) -> np.ndarray:
+        if len(self.pool) > 1:
+            self.pool = [np.concatenate(self.pool)]
+        return self.pool[0]
+
+    def places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first place in flat(), number of ids) of each of these words, whose hashes are sorted and differ."""
+        if len(self.hashes) + len(hashes) > self.most:
+            self._clear()
+        where = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        missing = np.flatnonzero(self.hashes[where] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        if len(missing):
+            ids, size = self._encoded(data, starts[missing], ends[missing])
+            at = self.used + np.cumsum(size) - size
+            self.pool.append(ids)
+            self.used += len(ids)
+            into = np.searchsorted(self.hashes, hashes[missing])
+            self.hashes, self.at, self.size = (np.insert(a, into, b) for a, b in ((self.hashes, hashes[missing]), (self.at, at), (self.size, size)))
+            where = np.searchsorted(self.hashes, hashes)
+        return self.at[where], self.size[where]
+
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words end to end, and how many each has."""
+        plain, marked = plain_words(data, starts, ends) if _plain(self.path) is not None else (np.zeros(len(starts), bool), np.zeros(len(starts), bool))
+        odd = np.flatnonzero(~plain)
+        parts: list = []
+        text = data.tobytes() if len(odd) else b""
+        values = self.other.values([[text[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist())]])[0] if len(odd) else []
+        sizes = np.zeros(len(starts), np.int64)
+        sizes[odd] = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        some = np.flatnonzero(plain)
+        for a in range(0, len(some), 50_000):
+            part = some[a : a + 50_000]
+            got = self._plain_ids(data, starts[part], (ends - marked)[part])
+            if got is None:
+                got = [np.frombuffer(x, "<u4") for x in self.other.values([[data[i:j].tobytes() for i, j in zip(starts[part].tolist(), (ends - marked)[part].tolist())]])[0]]
+                got = np.concatenate(got), np.array([len(x) for x in got])
+            parts.append((part, *got))
+            sizes[part] = got[1]
+        mark_ids = {m: np.frombuffer(v, "<u4") for m, v in zip(MARKS.encode(), self.other.values([[bytes([m]) for m in MARKS.encode()]])[0])} if marked[some].any() else {}
+        width = np.zeros(256, np.int64)
+        for m, v in mark_ids.items():
+            width[m] = len(v)
+        with_mark = some[marked[some]]
+        last = data[ends[with_mark] - 1]
+        total = sizes.copy()
+        total[with_mark] += width[last]
+        begin = np.cumsum(total) - total
+        out = np.empty(int(total.sum()), np.uint32)
+
+        def put(ids: np.ndarray, n: np.ndarray, at: np.ndarray) -> None:
+            upto = np.cumsum(n)
+            out[np.repeat(at - upto + n, n) + np.arange(len(ids))] = ids
+
+        if len(odd):
+            put(np.frombuffer(b"".join(values), "<u4"), sizes[odd], begin[odd])
+        for part, ids, n in parts:
+            put(ids, n, begin[part])
+        for m, v in mark_ids.items():
+            at = begin[with_mark[last == m]] + sizes[with_mark[last == m]]
+            put(np.tile(v, len(at)), np.full(len(at), len(v)), at)
+        return out, total
+
+    def _plain_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their numbers of plain words without marks; None if an id that ends a word doesn't end each of them."""
+        encoder, closes = _plain(self.path)
+        size = ends - starts
+        upto = np.cumsum(size + 1)
+        joined = np.full(int(upto[-1]), 32, np.uint8)
+        joined[np.repeat(upto - size - 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        ids = np.array(encoder.encode_batch_fast([joined[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(closes[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(starts) and cuts[-1] == len(ids) else None

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codec import ChunkCache, split
+from .codec import WordIds, split
 from .textnp import U, Words, mix, slices, words_of
 from .workspace import stage
 
@@ -36,11 +36,12 @@ WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 1024, 16 << 20
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
+CELL_RUN = 1 << 14
 #: Bytes of text of a partition.
 PART_BYTES = 32 << 20
-SALTS = (0x1234567, 0x89ABCDEF01, 0x5DEECE66D)
+SALTS = (0x1234567, 0x89ABCDEF01)
 K1, B = 1.2, 0.75
-_caches: dict[str, ChunkCache] = {}
+_caches: dict[str, WordIds] = {}
 
 
 class Index:
@@ -121,31 +122,33 @@ def word_counts(parts: list[Words]) -> tuple[np.ndarray, np.ndarray]:
     return word[first], np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
 
 
-def ids_of(w: Words, raw: pa.Array, cache: ChunkCache, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+def ids_of(w: Words, raw: pa.Array, words: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of a part's texts end to end, each with the end id, and where each begins (one more).
 
-    Each different word of the part is looked up once; equal 64-bit hashes within a part are taken for equal words.
+    Each different word of the part is looked up once; equal 64-bit hashes are taken for equal words.
     """
     order = np.argsort(w.hashes)
     h = w.hashes[order]
     new = np.concatenate((np.ones(min(1, len(h)), bool), h[1:] != h[:-1]))
     word = np.empty(len(h), np.int64)
     word[order] = np.cumsum(new) - 1
-    some, text = order[new], w.data.tobytes()
-    values = [*cache.values([[text[a:b] for a, b in zip(w.starts[some].tolist(), w.ends[some].tolist())]])[0], end]
-    ends_at = w.first[1:]
-    size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-    word = np.insert(word, ends_at, len(values) - 1)
-    begin = np.cumsum(size) - size
+    some = order[new]
+    at, size = words.places(h[new], w.data, w.starts[some], w.ends[some])
+    pool = words.flat()
     took = size[word]
-    upto = np.cumsum(took)
-    flat = np.frombuffer(b"".join(values), "<u4")[np.repeat(begin[word] - upto + took, took) + np.arange(upto[-1] if len(upto) else 0)]
-    offsets = np.concatenate(([0], upto))[np.concatenate(([0], ends_at + np.arange(1, len(ends_at) + 1)))]
+    upto = np.concatenate(([0], np.cumsum(took)))
+    ids = pool[np.repeat(at[word] - upto[:-1], took) + np.arange(upto[-1])]
+    # The end id goes behind each text's last word.
+    begins = upto[w.first]
+    flat = np.insert(ids, begins[1:], np.uint32(end_id))
+    offsets = begins + np.arange(len(begins))
+    text = w.data.tobytes()
     if b"|>" in text:  # such texts keep their case, or they could turn into special strings
         rows = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        end = np.array([end_id], "<u4").tobytes()
         for i, t in enumerate(raw):
             if b"|>" in (t := t.as_buffer().to_pybytes()):
-                rows[i] = np.frombuffer(b"".join(cache.values([split(t)])[0]) + end, "<u4")
+                rows[i] = np.frombuffer(b"".join(words.other.values([split(t)])[0]) + end, "<u4")
         flat, offsets = np.concatenate(rows), np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     return flat, offsets
 
@@ -170,11 +173,11 @@ def order_of(index: Index, lengths: list[int], window: int, at: int = 0, names:
     return order
 
 
-def keys_of(w: Words) -> list[np.ndarray]:
+def keys_of(w: Words, salts: tuple[int, ...] = SALTS) -> list[np.ndarray]:
     """Min-hashes of each document's words, of 52 bits as quantiles are computed in doubles; the greatest number without words."""
     has = np.flatnonzero(np.diff(w.first))
     out = []
-    for salt in SALTS:
+    for salt in salts:
         key = np.full(len(w.first) - 1, (1 << 52) - 1, np.uint64)
         if len(has):
             key[has] = np.minimum.reduceat(mix(w.hashes ^ U(salt)), w.first[:-1][has]) >> U(12)
@@ -183,18 +186,37 @@ def keys_of(w: Words) -> list[np.ndarray]:
 
 
 def surveyed(texts: DataFrame) -> DataFrame:
-    """(cell, n, key) of all texts, staged: documents by cell of their words, and with cell -1 each text's words and first key."""
+    """(part, counts, n, key) of all texts, staged: with part -1 each text's words and first key; else documents by cell of
+    their words, one row for a task and ``CELL_RUN`` cells, as 32-bit numbers."""
 
     def survey(batches):
+        total = np.zeros(CELLS, np.int64)
         for b in batches:
             for w in words_in(b.column(0)):
                 word, n = word_counts([w])
-                total = np.bincount((word >> U(64 - CELL_BITS)).astype(np.int64), n, CELLS).astype(np.int64)
-                cells, sizes = np.flatnonzero(total), np.diff(w.first)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(cells, np.full(len(sizes), -1)).astype(np.int32)), pa.array(np.append(total[cells], sizes)), pa.array(np.append(np.zeros(len(cells), np.int64), keys_of(w)[0]))], ["cell", "n", "key"])
+                total += np.bincount((word >> U(64 - CELL_BITS)).astype(np.int64), n, CELLS).astype(np.int64)
+                sizes = np.diff(w.first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), -1, np.int32)), pa.nulls(len(sizes), pa.binary()), pa.array(sizes), pa.array(keys_of(w, SALTS[:1])[0])], ["part", "counts", "n", "key"])
+        runs = total.astype(np.uint32).reshape(-1, CELL_RUN)
+        has = np.flatnonzero(runs.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array([runs[i].tobytes() for i in has], pa.binary()), pa.nulls(len(has), pa.int64()), pa.nulls(len(has), pa.int64())], ["part", "counts", "n", "key"])
 
-    found = texts.mapInArrow(survey, "cell int, n bigint, key bigint")
-    return stage(found, "packing-survey")
+    return stage(texts.mapInArrow(survey, "part int, counts binary, n bigint, key bigint"), "packing-survey")
+
+
+def cell_counts(found: DataFrame) -> np.ndarray:
+    """Documents by cell over all tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELL_RUN, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint32)
+        return pa.table({"part": table.column("part").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((CELLS // CELL_RUN, CELL_RUN), np.int64)
+    for r in found.where("part >= 0").groupBy("part").applyInArrow(add, "part int, total binary").collect():
+        out[r.part] = np.frombuffer(r.total, np.int64)
+    return out.ravel()
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -202,17 +224,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = surveyed(rows.select("text"))
-    own = found.where("cell < 0")
+    own = found.where("part < 0")
     n, words = own.agg(F.count(F.lit(1)), F.sum("n")).first()
     # About seven bytes a word; the number of partitions needs no more.
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), (words or 0) * 7 // PART_BYTES)
     shares = [i / parts for i in range(1, parts)]
     bounds = own.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts))).first()[0] or []
-    cells = found.where("cell >= 0").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(CELLS, np.int64)
-    counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+    counts = cell_counts(found)
     shared = spark.sparkContext.broadcast((np.array(bounds, np.int64), counts, n, max(1.0, (words or 0) / max(1, n))))
-    end = np.array([end_id], "<u4").tobytes()
 
     def deal(batches):
         limits = shared.value[0]
@@ -220,7 +239,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             keys = [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
             low, high = np.searchsorted(limits, keys[0]), np.searchsorted(limits, keys[0], "right")
             part = low + b.column(2).to_numpy() % (high - low + 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), *map(pa.array, keys)], ["id", "text", "part", "k1", "k2", "k3"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), *map(pa.array, keys)], ["id", "text", "part", "k1", "k2"])
 
     def shards(batches):
         """Runs of rows of a partition that make a shard."""
@@ -243,7 +262,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.Table.from_batches(held)
 
     def fill(batches):
-        cache = _caches.setdefault(path, ChunkCache(path, as_ids=True))
+        cache = _caches.setdefault(path, WordIds(path))
         corpus = (shared.value[2], shared.value[3], shared.value[1])
         first = TaskContext.get().partitionId() << 32
         at = 0
@@ -252,7 +271,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             names = table.column("id").combine_chunks()
             parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
             for w in parts:
-                flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end)
+                flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end_id)
                 ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
             lengths = [len(x) for x in ids]
             doc, start, length, crc, sequence, offset = [], [], [], [], [], []
@@ -276,6 +295,6 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     spread = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1)).alias("spread")
-    dealt = rows.select("id", "text", spread).mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint, k3 bigint")
-    close = dealt.repartitionById(parts, "part").sortWithinPartitions("k1", "k2", "k3", F.xxhash64("id", "text"), "id").select("id", "text")
+    dealt = rows.select("id", "text", spread).mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint")
+    close = dealt.repartitionById(parts, "part").sortWithinPartitions("k1", "k2", F.xxhash64("id", "text"), "id").select("id", "text")
     return close.mapInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("id", id_col)

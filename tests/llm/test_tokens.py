@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
-from sigspark.llm.codec import ChunkCache, split, tokenizer  # noqa: E402
-from sigspark.llm.packing import CELL_BITS, CELLS, Index, order_of, pack, surveyed, words_in  # noqa: E402
+from sigspark.llm.codec import ChunkCache, WordIds, split, tokenizer  # noqa: E402
+from sigspark.llm.packing import CELL_BITS, CELLS, Index, cell_counts, ids_of as packed_ids, order_of, pack, surveyed, words_in  # noqa: E402
 from sigspark.llm.queries import tokenizer_path  # noqa: E402
 from sigspark.llm.token_counts import token_counts  # noqa: E402
 from sigspark.llm.toxicity import best_words, held_out, toxicity, train  # noqa: E402
@@ -40,6 +40,21 @@ def test_known_difficult_texts(text):
     test_chunks_equal_whole_text.hypothesis.inner_test(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("  abcdefghéßü÷ÀÉ.,;:!?.,\t\n|>'1"))), max_size=8))
+def test_ids_by_hash_equal_whole_texts(texts):
+    import pyarrow as pa
+
+    cache = WordIds(PATH, most=200)
+    for _ in range(2):
+        column = pa.array(texts, pa.large_string())
+        raw, got = column.cast(pa.large_binary()), []
+        for w in words_in(column):
+            flat, begins = packed_ids(w, raw[len(got) : len(got) + len(w.first) - 1], cache, 1)
+            got += [flat[a:b].tolist() for a, b in zip(begins[:-1], begins[1:])]
+        assert got == [[*ids_of(t), 1] for t in texts]
+
+
 def test_cache_stays_bounded():
     c = ChunkCache(PATH, {b"the": 1}, most=100)
     for k in range(20):
@@ -176,9 +191,10 @@ def test_corpus_counts_and_close_documents_meet(spark):
     topics = [[f"T{k}x{i}" for i in range(30)] for k in range(20)]
     rows = [(i, " ".join(r.choice(topics[i % 20]) for _ in range(40))) for i in range(400)] + [(400, None), (401, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = surveyed(df.select("text")).collect()
-    assert sum(x.n for x in found if x.cell < 0) == 400 * 40 and sum(x.cell < 0 for x in found) == 402
-    assert sum(x.n for x in found if x.cell >= 0) == sum(len(set((t or "").split())) for _, t in rows)
+    found = surveyed(df.select("text"))
+    own = found.where("part < 0").collect()
+    assert sum(x.n for x in own) == 400 * 40 and len(own) == 402
+    assert cell_counts(found).sum() == sum(len(set((t or "").split())) for _, t in rows)
     got = pack(df, PATH, window=512, shard_rows=40).collect()
     by: dict = {}
     for x in got:
