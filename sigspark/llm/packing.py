@@ -105,21 +105,12 @@ def words_in(texts: pa.Array) -> list[Words]:
     return [words_of(data, offsets, lower=True) for _, _, data, offsets in slices(texts, SHARD_BYTES)]
 
 
-def word_counts(parts: list[Words]) -> tuple[np.ndarray, np.ndarray]:
-    """The different words (hashes) of these documents, and how many documents have each."""
-    hashes, owners, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-    for w in parts:
-        hashes.append(w.hashes)
-        owners.append(np.repeat(np.arange(at, at + len(w.first) - 1), np.diff(w.first)))
-        at += len(w.first) - 1
-    word, owner = np.concatenate(hashes), np.concatenate(owners)
-    order = np.argsort(word, kind="stable")  # owners rise within a word
-    word, owner = word[order], owner[order]
-    new = np.concatenate((np.ones(min(1, len(word)), bool), word[1:] != word[:-1]))
-    other = new.copy()
-    other[1:] |= owner[1:] != owner[:-1]
-    first = np.flatnonzero(new)
-    return word[first], np.add.reduceat(other.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+def documents_by_cell(w: Words) -> np.ndarray:
+    """How many of these documents have a word of each cell."""
+    key = ((w.hashes >> U(64 - CELL_BITS)) << U(40)) | np.repeat(np.arange(len(w.first) - 1, dtype=np.uint64), np.diff(w.first))
+    key.sort()
+    new = np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1]))
+    return np.bincount((key[new] >> U(40)).astype(np.int64), minlength=CELLS)
 
 
 def ids_of(w: Words, raw: pa.Array, words: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,8 +184,7 @@ def surveyed(texts: DataFrame) -> DataFrame:
         total = np.zeros(CELLS, np.int64)
         for b in batches:
             for w in words_in(b.column(0)):
-                word, n = word_counts([w])
-                total += np.bincount((word >> U(64 - CELL_BITS)).astype(np.int64), n, CELLS).astype(np.int64)
+                total += documents_by_cell(w)
                 sizes = np.diff(w.first)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), -1, np.int32)), pa.nulls(len(sizes), pa.binary()), pa.array(sizes), pa.array(keys_of(w, SALTS[:1])[0])], ["part", "counts", "n", "key"])
         runs = total.astype(np.uint32).reshape(-1, CELL_RUN)

@@ -187,6 +187,8 @@ def test_order_is_greedy():
 
 
 def test_corpus_counts_and_close_documents_meet(spark):
+    import pyarrow as pa
+
     r = random.Random(9)
     topics = [[f"T{k}x{i}" for i in range(30)] for k in range(20)]
     rows = [(i, " ".join(r.choice(topics[i % 20]) for _ in range(40))) for i in range(400)] + [(400, None), (401, "")]
@@ -194,7 +196,8 @@ def test_corpus_counts_and_close_documents_meet(spark):
     found = surveyed(df.select("text"))
     own = found.where("part < 0").collect()
     assert sum(x.n for x in own) == 400 * 40 and len(own) == 402
-    assert cell_counts(found).sum() == sum(len(set((t or "").split())) for _, t in rows)
+    cell = lambda t: {h >> (64 - CELL_BITS) for p in words_in(pa.array([t or ""])) for h in p.hashes.tolist()}
+    assert cell_counts(found).sum() == sum(len(cell(t)) for _, t in rows)
     got = pack(df, PATH, window=512, shard_rows=40).collect()
     by: dict = {}
     for x in got:
