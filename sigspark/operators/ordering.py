@@ -1,7 +1,8 @@
 """Sorting, global ranks and neighbours over one total order, without a single-partition window.
 
-``ranked`` range-partitions by the order, numbers rows inside a partition, and adds the count of the partitions before
-(one number per partition, broadcast). ``neighbours`` cuts the ranks into blocks, lends each block the few rows beyond
+``ranked`` range-partitions by the order, writes the sorted partitions with their rows numbered (when it is called: the
+query isn't lazy up to there), and adds the count of the partitions before (one number per partition, broadcast). Floats
+are in total order: -0.0 below 0.0, NaN last. ``neighbours`` cuts the ranks into blocks, lends each block the few rows beyond
 its borders, and looks to both sides inside a block; a block is a task's worth of rows however large the input is.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 from ..sources.workspace import cut
 
@@ -27,13 +29,15 @@ def order_columns(df: DataFrame, keys: list[str] | None, seq: str) -> list[str]:
 
 def ranked(df: DataFrame, keys: list[str] | None, seq: str, partitions: int | None = None) -> DataFrame:
     """df with _rank: 0, 1, ... in the order of keys, then seq."""
-    order = order_columns(df, keys, seq)
+    order = [total_order(c) if isinstance(df.schema[c].dataType, (FloatType, DoubleType)) else F.col(c) for c in order_columns(df, keys, seq)]
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    base = counts.select(F.col("_part").alias("_p"), (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_base"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return placed.withColumn(RANK, inner).join(F.broadcast(base), F.col("_part") == F.col("_p")).withColumn(RANK, (F.col(RANK) + F.col("_base")).cast("long")).drop("_part", "_p", "_base")
+    # An id is its partition's number, 33 bits up, and the row's place in the sorted partition: one shuffle numbers all rows.
+    placed = cut(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_id", 33)
+    counts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    base = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_base"))
+    rank = (F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_base")).cast("long")
+    return placed.join(F.broadcast(base), part == F.col("_p")).withColumn(RANK, rank).drop("_id", "_p", "_base")
 
 
 def neighbours(df: DataFrame, columns: dict[str, Column], before: int, after: int, block: int = BLOCK) -> DataFrame:

@@ -10,10 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: Arrival number of a record, as sources make it.
+SEQ = "_seq"
+
+
 class DomainError(ValueError):
     """A key lies outside the map's domain."""
 
@@ -27,8 +31,10 @@ class MapSpec:
     default: dict[str, Any] | Callable[..., dict[str, Column]] = field(default_factory=dict)
     params: tuple = ()
     split: tuple[int, int] | None = None
+    #: Codec of an entry, or of a stripe when its columns are windows over ``stripe_window()``; drop: entries to remove when written.
     encode: Callable[[dict[str, Column]], dict[str, Column]] | None = None
     decode: Callable[[dict[str, Column]], dict[str, Column]] | None = None
+    drop: Callable[[dict[str, Column]], Column] | None = None
 
     def __post_init__(self) -> None:
         if not self.keys or not self.values:
@@ -38,6 +44,8 @@ class MapSpec:
                 raise ValueError(f"{name}: low {low} is above high {high}")
         if (self.encode is None) != (self.decode is None):
             raise ValueError("encode and decode come together")
+        if self.drop and not self.encode:
+            raise ValueError("only a codec drops entries")
         if self.split and len(self.keys) > 1:
             raise ValueError("only a map with one key column is split")
 
@@ -45,6 +53,19 @@ class MapSpec:
     def key_names(self) -> list[str]:
         return [k for k, _, _ in self.keys]
 
+    def stripe_window(self) -> WindowSpec:
+        """All entries of a stripe, for codecs that see a stripe at once."""
+        block, stripe, _ = self.split_columns()
+        return Window.partitionBy(block, stripe)
+
+    def encoded(self, rows: DataFrame) -> DataFrame:
+        """rows as they are stored: without the entries that the codec drops, values encoded."""
+        if not self.encode:
+            return rows
+        values = {v: F.col(v) for v in self.values}
+        kept = rows.where(~F.coalesce(self.drop(values), F.lit(False))) if self.drop else rows
+        return kept.withColumns(self.encode(values))
+
     def defaults(self) -> dict[str, Column]:
         if callable(self.default):
             return self.default(*[F.col(k) for k in self.key_names], *self.params)
@@ -107,16 +128,22 @@ class PMap:
         if self.const:
             raise PermissionError("the map is const")
 
-    def put(self, rows: DataFrame, checked: bool = True) -> PMap:
-        """The map with rows' values; a key may occur once in rows."""
+    def put(self, rows: DataFrame, checked: bool = True, order: str | None = None) -> PMap:
+        """The map with rows' values. Of several rows of a key the last in ``order`` counts, the arrival number unless given;
+        rows without either that repeat a key fail when the map is read."""
         self._writable()
         names = self.spec.key_names
         if checked:
             self._check(rows)
-        new = rows.select(*names, *self.spec.values)
-        if self.spec.encode:
-            new = new.withColumns(self.spec.encode({v: F.col(v) for v in self.spec.values}))
-        kept = self.table.join(new.select(*names), names, "left_anti")
+        order = order or (SEQ if SEQ in rows.columns else None)
+        value = F.struct(*self.spec.values)
+        if order:
+            one = F.max_by(value, order)
+        else:
+            one = F.when(F.count(F.lit(1)) == 1, F.first(value)).otherwise(F.raise_error(F.lit("a key is put twice and the rows have no order")))
+        new = rows.groupBy(*names).agg(one.alias("_one")).select(*names, *[F.col("_one")[v].alias(v) for v in self.spec.values])
+        new = self.spec.encoded(new)
+        kept = self.table.join(rows.select(*names), names, "left_anti")
         return replace(self, table=kept.select(*names, *self.spec.values).unionByName(new))
 
     def fold(self, rows: DataFrame, combine: Callable[[Column, Column], Column], checked: bool = True) -> PMap:
@@ -132,9 +159,7 @@ class PMap:
             old = F.when(F.col("_present"), F.col(v)).otherwise(defaults[v])
             both = both.withColumn(v, F.when(F.col("_seen"), combine(old, F.col(f"_new_{v}"))).otherwise(F.col(v)))
         out = both.select(*names, *self.spec.values)
-        if self.spec.encode:
-            out = out.withColumns(self.spec.encode({v: F.col(v) for v in self.spec.values}))
-        return replace(self, table=out)
+        return replace(self, table=self.spec.encoded(out))
 
     def member(self, rows: DataFrame, into: str = "present") -> DataFrame:
         names = self.spec.key_names

@@ -13,6 +13,7 @@ from ..operators import aggregate as A
 from ..operators.boundary import prefix_flags, run_flags
 from ..operators.ordering import RANK, ahead, back, neighbours, ranked, take_until
 from ..operators.pmap import MapSpec, PMap, all_of, any_of
+from ..operators.rangejoin import range_join
 from ..sources.records import generated
 from .munion import Munion
 from .stream import Stream
@@ -33,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import source_queries  # noqa: F401  adds its own
+    from . import more_queries, source_queries  # noqa: F401  add their own
 
     return dict(_queries)
 
@@ -231,12 +232,8 @@ def jon03_anti(spark, d):
 
 @query("""select n_nationkey, user_id, n::BIGINT as n from nation join (select user_id, count(*) as n from events group by 1) on user_id between n_nationkey * 10 and n_nationkey * 10 + 4""")
 def jon07_range(spark, d):
-    # Ranges are cut to blocks of keys, so the join is on equal blocks.
-    width = 64
     ranges = _table(spark, d, "nation").select(F.col("n_nationkey").cast("int"), (F.col("n_nationkey") * 10).cast("bigint").alias("lo"), (F.col("n_nationkey") * 10 + 4).cast("bigint").alias("hi"))
-    ranges = ranges.withColumn("block", F.explode(F.sequence(quotient(F.col("lo"), width), quotient(F.col("hi"), width))))
-    keys = _counts(spark, d).table.withColumn("block", quotient(F.col("user_id"), width))
-    return ranges.join(keys, "block").where("user_id between lo and hi").select("n_nationkey", "user_id", "n")
+    return range_join(ranges, "lo", "hi", _counts(spark, d).table, "user_id").select("n_nationkey", "user_id", "n")
 
 
 @query("select count(*)::BIGINT as n, count(*) filter (where event_type = 'click')::BIGINT as clicks from events")
@@ -366,7 +363,7 @@ def evt05_nested_events(spark, d):
     m = Munion({"o": side, "t": side})
     detect = lambda w: m.build(o=side.build(call=F.when(w[0]["event_type"] == "click", w[0]["user_id"])), t=side.build(call=F.when(w[0]["value"] > 50, w[0]["user_id"])))
     s = Stream(_events(spark, d, "event_id", "user_id", "event_type", "value"), "event_id").sorted_by("event_id").detect(m, detect)
-    return s.on(("o.call", lambda x: x), ("t.call", lambda x: x)).join(s.ordered().select(RANK, "event_id"), RANK).select("event_id", "name", "out")
+    return s.on(("o.call", lambda x: x), ("t.call", lambda x: x), keep=("event_id",)).select("event_id", "name", "out")
 
 
 _PAIR = Munion({"x": "bigint", "y": "double"})
@@ -496,11 +493,12 @@ def rng01_range(spark, d):
     return _table(spark, d, "customer").select("c_custkey").where(r.holds(F.col("c_custkey"))).select(r.checked(F.col("c_custkey"), "key").alias("c_custkey"))
 
 
-@query("""select user_id, string_agg(event_id::VARCHAR, ',' order by event_id) as ids from events where event_id < 300 group by user_id""")
+@query("""select user_id, event_id // 1000 as block, string_agg(event_id::VARCHAR, ',' order by event_id) as ids from events group by all""")
 def vew02_array_view(spark, d):
+    """Arrays hold a user's events of a block of ids, so that a user with very many has many arrays."""
     v = View(lambda c: c + 1, lambda c: c - 1).array()
-    e = _events(spark, d, "event_id", "user_id").where("event_id < 300").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return e.select("user_id", F.array_join(v.to_logical(v.to_physical(F.col("ids"))), ",").alias("ids"))
+    e = _events(spark, d, "event_id", "user_id").groupBy("user_id", quotient(F.col("event_id"), 1000).alias("block")).agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return e.select("user_id", "block", F.array_join(v.to_logical(v.to_physical(F.col("ids"))), ",").alias("ids"))
 
 
 @query("""select hash_id, event_type from (select distinct event_type, dense_rank() over (order by event_type)::BIGINT as hash_id from events)""")

@@ -70,10 +70,13 @@ def src06_directory(spark, d):
     return every.agg(F.count("event_id").alias("kept"), (F.max(SEQ) - F.min(SEQ) + 1).alias("places"), F.count_distinct(SEQ).alias("different")).where("places = different").drop("different")
 
 
-@query("select user_id as key from events where user_id between 10 and 50 and event_id % 4 <> 0")
+@query("select key from (select event_id, user_id as key from events union all select event_id, user_id + 1 from events) where key between 10 and 50 and event_id % 4 <> 0")
 def src09_key_file(spark, d):
+    """Lines of junk, of two keys with blanks, and of keys with other characters between."""
     path = _place(spark, "keys")
-    _events(spark, d, "event_id", "user_id").select(F.when(F.col("event_id") % 4 == 0, F.lit("junk")).otherwise(F.col("user_id").cast("string")).alias("value")).write.text(path)
+    user, text = F.col("user_id").cast("string"), (F.col("user_id") + 1).cast("string")
+    line = F.when(F.col("event_id") % 4 == 0, F.lit("junk")).when(F.col("event_id") % 4 == 1, F.concat_ws(" ", user, text, F.lit("99999999999999999999"))).otherwise(F.concat(F.lit("x"), user, F.lit("y"), text, F.lit("-")))
+    _events(spark, d, "event_id", "user_id").select(line.alias("value")).write.text(path)
     return key_source(spark, path, 10, 50).select("key")
 
 
@@ -188,12 +191,24 @@ def stm02_live_map(spark, d):
 
 @query("select date_trunc('hour', ts) as hour, event_type, count(*)::BIGINT as n from events group by all")
 def stm03_time_windows(spark, d):
-    """An extension: event-time windows with a watermark, here over a finished table."""
-    w = windowed(_events(spark, d, "ts", "event_type"), "ts", ["event_type"], "1 hour", "10 minutes", {"n": F.count(F.lit(1))})
-    return w.select(F.col("window.start").alias("hour"), "event_type", "n")
+    """An extension: event-time windows of a stream, with a watermark that is wider than the rows are out of order."""
+    source, out = _place(spark, "stream"), _place(spark, "windows")
+    rows = _events(spark, d, "ts", "event_type").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    w = windowed(stream, "ts", ["event_type"], "1 hour", "3650 days", {"n": F.count(F.lit(1))}).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+    last: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        """Each batch gives all windows so far, in a folder of its own; the last one is read."""
+        batch.write.mode("overwrite").parquet(f"{out}/v{number}")
+        last[:] = [f"{out}/v{number}"]
+
+    w.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", _place(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(w.schema).parquet(last[0])
 
 
-@query("select user_id, event_id from events where event_id % 3 = 0")
+@query("select user_id, event_id from events")
 def snk04_output(spark, d) -> DataFrame:
     """Printed output is a returned table; cut() is the written form that others read."""
-    return cut(_events(spark, d, "user_id", "event_id").where("event_id % 3 = 0"), "output")
+    return cut(_events(spark, d, "user_id", "event_id"), "output")

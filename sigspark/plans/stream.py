@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import RANK, ahead, back, neighbours, ranked
+from ..operators.pmap import PMap
+from ..operators.rangejoin import range_join
 from .munion import Munion
 
 
@@ -79,8 +81,8 @@ class Stream:
         view = WindowView(self.df.columns, self.size, self.offset)
         return neighbours(rows, {"event": self.detector(view)}, self.offset, self.size - 1 - self.offset)
 
-    def on(self, *handlers: tuple[str, Callable[[Column], Column]]) -> DataFrame:
-        """(_rank, step, name, out): what each handler makes of its event, in the order the handlers are listed. Events without a handler are ignored."""
+    def on(self, *handlers: tuple[str, Callable[[Column], Column]], keep: tuple[str, ...] = ()) -> DataFrame:
+        """(_rank, step, name, out), and the record's fields in ``keep``: what each handler makes of its event, in the order the handlers are listed. Events without a handler are ignored."""
         names = [n for n, _ in handlers]
         if len(set(names)) < len(names):
             raise ValueError("an event has one handler")
@@ -93,4 +95,23 @@ class Stream:
                 on, value = F.lit(True), F.struct(*self.df.columns)
             made.append(F.when(on, F.struct(F.lit(i).alias("step"), F.lit(name).alias("name"), handle(value).alias("out"))))
         steps = F.filter(F.array(*made), lambda x: x.isNotNull())
-        return rows.select(RANK, F.explode(steps).alias("s")).select(RANK, "s.step", "s.name", "s.out")
+        return rows.select(RANK, *keep, F.explode(steps).alias("s")).select(RANK, *keep, "s.step", "s.name", "s.out")
+
+    def accumulate(self, by: list[str], state: dict[str, Column], emit: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """Handlers with state: (_rank, by, keep, state) of each row with event ``emit`` (all rows without). A state is an
+        aggregate over the rows of the group from its first to this one, in order; it starts anew with each group."""
+        w = Window.partitionBy(*by).orderBy(RANK).rowsBetween(Window.unboundedPreceding, 0)
+        rows = self.events().withColumns({n: c.over(w) for n, c in state.items()})
+        if emit:
+            rows = rows.where(self.munion.has(F.col("event"), emit))
+        return rows.select(RANK, *by, *keep, *state)
+
+    def iterate(self, keys: PMap, low: Callable[[DataFrame], Column], high: Callable[[DataFrame], Column], event: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """A handler that opens an iterate: for each row with the event (each row without), the map's entries with keys in
+        [low, high] of the row: (_rank, keep, key, values)."""
+        rows = self.events()
+        if event:
+            rows = rows.where(self.munion.has(F.col("event"), event))
+        (key,) = keys.spec.key_names
+        ranges = rows.select(RANK, *keep, low(rows).alias("_low"), high(rows).alias("_high"))
+        return range_join(ranges, "_low", "_high", keys.scan().select(key, *keys.spec.values), key).drop("_low", "_high")

@@ -1,12 +1,15 @@
 """Persistent stores: versioned maps, pickles, and directories that bundle them.
 
-A store is a folder. Writing makes version v<N + 1> and then flips the pointer file, so readers see whole versions and a
-map may be written from itself. Small files go through Hadoop's file system, so any path Spark reads works.
+A store is a folder. Writing claims the next version number that no other writer has, makes folder v<number> and then
+replaces the pointer file in one step, so readers see whole versions, a map may be written from itself, and two writers
+never share a folder (the last pointer stands). The pointer may carry a note, which changes together with the version. Small files go through Hadoop's file system, so any path Spark reads works.
 """
 
 from __future__ import annotations
 
+import copy
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import Any
@@ -43,12 +46,19 @@ class Files:
     def write(self, path: str, text: str) -> None:
         """Replace a small file; a reader sees the old or the new one."""
         fs, p = self._at(path)
-        draft = self.jvm.org.apache.hadoop.fs.Path(path + ".draft")
+        draft = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.draft")
         out = fs.create(draft, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(draft, p)
+        rename = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(p), how)
+
+    def claim(self, path: str) -> bool:
+        """Make an empty file; false if it is there already."""
+        fs, p = self._at(path)
+        return fs.createNewFile(p)
 
 
 @dataclass
@@ -92,6 +102,7 @@ class MapStore:
     map: PMap
     version: int
     const: bool
+    note: str = ""
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, spec: MapSpec | None, types: dict[str, str] | None, there: bool, const: bool) -> MapStore:
@@ -104,9 +115,10 @@ class MapStore:
                 spec = MapSpec(keys, tuple(meta["values"]), meta["default"] or {}, split=split)
             elif spec.keys != keys or list(spec.values) != meta["values"]:
                 raise TypeError(f"{path} was declared otherwise")
-            version = int(files.read(f"{path}/_current"))
+            current, _, note = files.read(f"{path}/_current").partition(" ")
+            version = int(current)
             table = spark.read.schema(meta["schema"]).parquet(f"{path}/v{version}") if version else spark.createDataFrame([], meta["schema"])
-            return cls(spark, path, PMap(spec, table, const), version, const)
+            return cls(spark, path, PMap(spec, table, const), version, const, note)
         if spec is None or types is None:
             raise ValueError("a new map needs its declaration")
         store = cls(spark, path, PMap.empty(spark, spec, types), 0, const)
@@ -116,19 +128,22 @@ class MapStore:
         files.write(f"{path}/_current", "0")
         return store
 
-    def save(self, new: PMap, partitions: int | None = None) -> MapStore:
-        """Make new the current version, sorted by key inside files so that key ranges prune."""
+    def save(self, new: PMap, partitions: int | None = None, note: str = "") -> MapStore:
+        """Make new the current version, with its note, sorted by key inside files so that key ranges prune."""
         if self.const:
             raise PermissionError(f"{self.path} is const")
         if new.spec.keys != self.map.spec.keys or new.spec.values != self.map.spec.values:
             raise TypeError("the map was declared otherwise")
         keys = new.spec.key_names
         n = partitions or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        files = Files(self.spark)
         version = self.version + 1
+        while not files.claim(f"{self.path}/_claim-{version}"):
+            version += 1
         to = f"{self.path}/v{version}"
         new.table.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(to)
-        Files(self.spark).write(f"{self.path}/_current", str(version))
-        self.version, self.map = version, replace(self.map, table=self.spark.read.schema(new.table.schema).parquet(to))
+        files.write(f"{self.path}/_current", f"{version} {note}".rstrip())
+        self.note, self.version, self.map = note, version, replace(self.map, table=self.spark.read.schema(new.table.schema).parquet(to))
         return self
 
 
@@ -139,23 +154,24 @@ class Pickle:
     spark: SparkSession
     path: str
     value: Any
+    load: Callable[[str | None], Any]
     dump: Callable[[Any], str]
     const: bool
 
     @classmethod
     def open(cls, spark, path, load, dump, there, const) -> Pickle:
-        return cls(spark, path, load(Files(spark).read(f"{path}/_state") if there else None), dump, const)
+        return cls(spark, path, load(Files(spark).read(f"{path}/_state") if there else None), load, dump, const)
 
     def save(self) -> None:
         if self.const:
             raise PermissionError(f"{self.path} is const")
         Files(self.spark).write(f"{self.path}/_state", self.dump(self.value))
 
-    def copy_to(self, other: Pickle, load: Callable[[str | None], Any]) -> None:
-        """other := this pickle, through its stored form."""
+    def copy_to(self, other: Pickle, load: Callable[[str | None], Any] | None = None) -> None:
+        """other := this pickle, through its stored form, so that the two share nothing."""
         if other.const:
             raise PermissionError(f"{other.path} is const")
-        other.value = load(self.dump(self.value))
+        other.value = (load or other.load)(self.dump(self.value))
         other.save()
 
 
@@ -223,10 +239,9 @@ class Directory:
             if isinstance(v, MapStore):
                 o.save(v.map.copy_to(o.map))
             elif isinstance(v, Pickle):
-                o.value = v.value
-                o.save()
+                v.copy_to(o)
             elif isinstance(v, Directory):
                 v.copy_to(o)
             else:
-                other[name] = v
+                other[name] = copy.deepcopy(v)
         other.save()

@@ -16,21 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.store import Files, MapStore
+from ..sources.store import MapStore
 
 
 def upsert_stream(events: DataFrame, store: MapStore, measures: dict[str, Column], combine: Callable[[Column, Column], Column], checkpoint: str, trigger: dict[str, Any] | None = None) -> StreamingQuery:
     keys = store.map.spec.key_names
-    marker = f"{store.path}/_batch"
 
     def fold(batch: DataFrame, number: int) -> None:
-        files = Files(batch.sparkSession)
-        done = int(files.read(marker).split()[0]) if files.exists(marker) else -1
-        if number <= done:
+        if number <= int(store.note or -1):
             return
         rows = batch.groupBy(*keys).agg(*[c.alias(n) for n, c in measures.items()])
-        store.save(store.map.fold(rows, combine))
-        files.write(marker, f"{number} {store.version}")
+        # The pointer names version and batch in one step: a batch is folded wholly or not at all.
+        store.save(store.map.fold(rows, combine), note=str(number))
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

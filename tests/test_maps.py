@@ -1,5 +1,6 @@
 """Maps, stores, sources, programs, scalars, views, streaming."""
 
+import json
 import struct
 
 import pytest
@@ -13,6 +14,7 @@ from sigspark.operators.pmap import DomainError, MapSpec, PMap, all_of, any_of
 from sigspark.plans.program import Param, UsageError, bind
 from sigspark.sources.records import binary_source, concatenated, from_iterable, generated, key_source, text_source
 from sigspark.sources.store import Catalog
+from sigspark.streaming.live import upsert_stream
 
 SPEC = MapSpec((("k", 0, 99),), ("v",), {"v": 7}, split=(10, 5))
 
@@ -220,3 +222,102 @@ def test_streaming(spark, tmp_path):
         assert q.exception() is None
     assert sorted(r.n for r in spark.table("a").collect()) == [10, 10, 10]
     assert spark.table("b").agg(F.sum("n")).first()[0] == 30 and spark.table("c").count() == 3
+
+
+def test_put_keeps_the_last_or_fails(spark):
+    spec = MapSpec((("k", 0, 100),), ("v",), {"v": 0})
+    rows = spark.createDataFrame([(1, 10, 0), (1, 20, 1), (2, 5, 2)], "k bigint, v bigint, _seq bigint")
+    m = PMap.empty(spark, spec, {"v": "bigint"})
+    assert [tuple(r) for r in m.put(rows).scan().collect()] == [(1, 20), (2, 5)]
+    assert [tuple(r) for r in m.put(rows.drop("_seq").withColumn("at", -F.col("v")), order="at").scan().collect()] == [(1, 10), (2, 5)]
+    with pytest.raises(Exception, match="put twice"):
+        m.put(rows.drop("_seq")).scan().collect()
+
+
+def test_binary_source_is_split_and_padded(spark, tmp_path):
+    rows = [(i % 100, -i, i * 0.5) for i in range(5000)]
+    for layout in ("@bid", ">bid", "<bid"):
+        at = tmp_path / f"f{ord(layout[0])} x"
+        at.write_bytes(b"".join(struct.pack(layout, *r) for r in rows))
+        got = binary_source(spark, str(at), layout, ["a", "b", "c"], chunk=700)
+        assert got.rdd.getNumPartitions() > 1
+        assert [tuple(r) for r in got.orderBy("_seq").drop("_seq").collect()] == rows
+    with pytest.raises(ValueError):
+        binary_source(spark, str(at), "<qqq", ["a", "b", "c"])
+
+
+def test_keys_between_other_characters(spark, tmp_path):
+    (tmp_path / "k").write_text("12 13 14\nx7y8\n\n-5+6 99999999999999999999 1")
+    got = key_source(spark, str(tmp_path / "k")).orderBy("_seq").collect()
+    assert [tuple(r) for r in got] == list(enumerate([12, 13, 14, 7, 8, -5, 6, 1]))
+
+
+def test_a_crash_after_the_pointer_does_not_fold_twice(spark, tmp_path):
+    """The batch number is part of the pointer: whatever stops the writer, a batch is in the map once."""
+    spec = MapSpec((("k", 0, 100),), ("n",), {"n": 0})
+    events = spark.createDataFrame([(1,), (1,), (2,)], "k bigint")
+    events.write.parquet(str(tmp_path / "in"))
+
+    def run(crash):
+        store = Catalog(spark).map(str(tmp_path / "map"), spec, {"n": "bigint"})
+        real = type(store).save
+
+        class Crashing(type(store)):
+            def save(self, new, partitions=None, note=""):
+                if crash == "before":
+                    raise OSError("lost")
+                real(self, new, partitions, note)
+                if crash == "after":
+                    raise OSError("lost")
+
+        store.__class__ = Crashing
+        stream = spark.readStream.schema("k bigint").parquet(str(tmp_path / "in"))
+        q = upsert_stream(stream, store, {"n": F.count(F.lit(1))}, lambda a, b: a + b, str(tmp_path / "check"))
+        try:
+            q.awaitTermination()
+        except Exception as e:
+            assert "lost" in str(e)
+
+    for crash in ("before", "after", None, None):
+        run(crash)
+    assert [tuple(r) for r in Catalog(spark).map(str(tmp_path / "map"), mode="exists").map.scan().collect()] == [(1, 2), (2, 1)]
+
+
+def test_two_writers_share_no_version(spark, tmp_path):
+    spec = MapSpec((("k", 0, 100),), ("n",), {"n": 0})
+    one = Catalog(spark).map(str(tmp_path / "m"), spec, {"n": "bigint"})
+    two = Catalog(spark).map(str(tmp_path / "m"), mode="exists")
+    rows = lambda n: spark.createDataFrame([(1, n)], "k bigint, n bigint")
+    one.save(one.map.put(rows(5)))
+    two.save(two.map.put(rows(6)))
+    assert (one.version, two.version) == (1, 2) and one.map.scan().first().n == 5 and two.map.scan().first().n == 6
+
+
+def test_a_copied_directory_shares_nothing(spark, tmp_path):
+    load = lambda t: json.loads(t) if t else []
+    fields = {"list": [1], "state": (load, json.dumps)}
+    c = Catalog(spark)
+    one, two = c.directory(str(tmp_path / "a"), fields), c.directory(str(tmp_path / "b"), {"list": [], "state": (load, json.dumps)})
+    one["state"].value.append(1)
+    one.copy_to(two)
+    two["list"].append(2)
+    two["state"].value.append(2)
+    assert one["list"] == [1] and one["state"].value == [1]
+
+
+def test_byte_streams(spark, tmp_path):
+    import gzip
+
+    from sigspark.sources import bytestreams as B
+
+    for data in (b"", b"a", b"aaab" * 300, b"x" * 1000, bytes(range(256)) * 2):
+        assert B.from_run_length(B.run_length(data)) == data and B.from_delta(B.delta(data)) == data
+        there, back = B.mapped(bytes(reversed(range(256))))
+        assert back(there(data)) == data
+    with pytest.raises(ValueError):
+        B.mapped(bytes(256))
+    (tmp_path / "z").write_bytes(gzip.compress(b"one\r\ntwo\r\nthree\r\n\x1a"))
+    seen = []
+    assert B.tee(seen.append)(b"q") == b"q" and seen == [b"q"]
+    got = B.decoded(spark, [str(tmp_path / "z")], B.inflated, B.dos, B.segment(4), B.filtered("tr", "a-z", "A-Z"))
+    assert [(r.line, r.value) for r in got.orderBy("line").collect()] == [(0, "TWO"), (1, "THREE")]
