@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .workspace import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_ROWS = 1 << 16
+BLOCK_ROWS = 1 << 18
+#: Blocks of all sources whose totals are broadcast (about 100 MB); beyond, texts meet them in a shuffle of their own.
+MOST_BLOCKS = 1 << 20
 #: Words of a range of positions, about 100 MB of text.
 PART_WORDS = 1 << 24
 
@@ -75,7 +77,7 @@ def block_of(h: Column, digits: int) -> Column:
 
 def blocks(rows: DataFrame, **kw) -> tuple[DataFrame, int]:
     """(source, block, base, source_size, target, slope) for each hash block of each source, staged; digits of a block's hash."""
-    digits = max(3, math.ceil(math.log(max(1, rows.count()) / BLOCK_ROWS, 16)))
+    digits = max(2, math.ceil(math.log(max(1, rows.count()) / BLOCK_ROWS, 16)))
     totals = stage(rows.groupBy("source", block_of(F.col("h"), digits).alias("block")).agg(F.sum("size").alias("size")), "mix-totals")
     goal = targets(totals.select("source", "size"), **kw)
     slope = F.when(F.col("top") > 0, F.col("rank") / F.col("top") - 0.5).otherwise(F.lit(0.0))
@@ -117,6 +119,7 @@ def sequence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     own = {f"__{k}": v for k, v in columns.items()}
     rows = docs.withColumns(own).withColumn("__block", block_of(F.col("__h"), digits))
     b = base.select(*(F.col(c).alias(f"__{c}") for c in base.columns))
+    b = F.broadcast(b) if base.count() <= MOST_BLOCKS else b
     rows = rows.join(b, F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__block") == F.col("__b_block")))
     rows = rows.withColumn("__epoch", F.explode(F.expr("filter(array(0, 1), k -> __base + k * __source_size < __target)")))
     offset = F.col("__base") + F.col("__epoch") * F.col("__source_size")

@@ -38,7 +38,7 @@ from .workspace import stage
 
 SHINGLE = 5
 COORDINATES, ROWS = 28, 3
-PART, BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 21
+PART, BLOCK, BLOCK_SHINGLES = 256, 512, 1 << 19
 BITS = 12
 _rng = np.random.Generator(np.random.PCG64(0xC0FFEE))
 MULTIPLY = _rng.integers(0, 2**63, COORDINATES * ROWS, dtype=np.uint64) * U(2) + U(1)

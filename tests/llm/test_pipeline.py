@@ -1,6 +1,8 @@
 """The pipeline, stage by stage, against brute force; every query runs on the smallest tables."""
 
+import hashlib
 import os
+from collections import Counter
 
 import pytest
 
@@ -10,7 +12,9 @@ from sigspark.llm import queries  # noqa: E402
 
 from .conftest import table  # noqa: E402
 from .test_dedup import brute_exact, brute_near  # noqa: E402
-from .test_native import brute_quality  # noqa: E402
+from sigspark.llm.codec import tokenizer  # noqa: E402
+
+from .test_native import WORD, brute_quality, brute_targets  # noqa: E402
 
 DATA = "/root/testdata/sf0.001"
 
@@ -29,8 +33,34 @@ def test_stages(spark, docs, rows):
     assert {r.doc_id for r in n.collect()} == {r[0] for r in brute_near(rest, 80) if r[3]} and n.columns == corpus_pipeline.COLUMNS
     m = step["source_mix"](spark, n, "").cache()
     assert m.columns == corpus_pipeline.COLUMNS and m.where("n_chars <> length(text)").count() == 0
-    p = step["packing"](spark, m, "")
-    assert {r.doc_id for r in p.collect()} == {r.doc_id for r in m.collect()}
+    mixed = [tuple(r) for r in m.collect()]
+    assert sorted(brute_mix([tuple(r) for r in n.collect()]), key=repr) == sorted(((r[0], r[1]) for r in mixed), key=repr)
+    # Packing: the pieces of a document are its ids, in order, once for each time that it is in the mix.
+    pieces = Counter()
+    for r in step["packing"](spark, m, "").collect():
+        pieces[r.doc_id, r.doc_tokens] += r.length
+    want = Counter()
+    for i, t, *_ in mixed:
+        k = len(tokenizer(corpus_pipeline.tokenizer_path()).encode(t or "", add_special_tokens=False).ids) + 1
+        want[i, k] += k
+    assert pieces == want
+
+
+def brute_mix(rows):
+    """(id, text) of each time a document is taken: sources in hash order, twice over, until the target is met."""
+    size, target = brute_targets(rows)
+    out = []
+    for s in size:
+        left = round(target[s])
+        own = sorted((hashlib.md5(str(r[0]).encode()).hexdigest(), r[0], r[1] or "") for r in rows if r[3] == s)
+        for _ in range(2):
+            for _, i, t in own:
+                w = WORD.findall(t)
+                n = min(len(w), left)
+                left -= n
+                if n:
+                    out.append((i, t if n == len(w) else " ".join(w[:n])))
+    return out
 
 
 def test_pipeline_on_nothing(spark, nothing):
