@@ -67,6 +67,12 @@ def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s, np.minimum(s + PIECE, ends[word]), word
 
 
+def cut(word: bytes) -> list[bytes]:
+    """The pieces of one word."""
+    s, e, _ = pieces(np.array([0]), np.array([len(word)])) if len(word) > PIECE else ([0], [len(word)], None)
+    return [word[a:b] for a, b in zip(s, e)]
+
+
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of these byte ranges end to end, without marks, and where each begins (one more)."""
     size = ends - starts
@@ -177,7 +183,7 @@ def _machine(x: np.ndarray, y: np.ndarray, c: np.ndarray, rounds: int = 30) -> n
 
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = ROUNDS) -> Model | None:
     """A model of these labelled texts; None without both labels."""
-    bags = [{w.translate(None, MARKS)[:PIECE] for w in t.encode().lower().split()} for t in texts]
+    bags = [{p.translate(None, MARKS) for w in t.encode().lower().split() for p in cut(w)} for t in texts]
     yes, no = [b for b, t in zip(bags, toxic) if t], [b for b, t in zip(bags, toxic) if not t]
     if not yes or not no:
         return None

@@ -259,6 +259,27 @@ def test_held_out_labels_teach_nothing(spark):
     assert table(toxicity(df, lf)) == table(toxicity(df, other))
 
 
+def test_kernel_against_brute_force():
+    """Shared subsequences of three characters over at most seven, each weighed by its span on either side."""
+    from sigspark.llm.toxicity import LAMBDA, NORM, ORDER, SPAN, cut, kernel
+
+    def vector(w):
+        out = {}
+        for a in range(len(w)):
+            for b in range(a + 1, len(w)):
+                for c in range(b + 1, min(len(w), a + SPAN)):
+                    k = (w[a], w[b], w[c])
+                    out[k] = out.get(k, 0) + LAMBDA ** (c - a + 1) / NORM[len(w)]
+        return out
+
+    words = [b"moron", b"mo1ron", b"aaaaaaaaaa", b"ab", b"abcdefghijklm", b"gfedcba", b"nom"]
+    v = [vector(w.decode()) for w in words]
+    want = [[sum(x * b.get(k, 0) for k, x in a.items()) for b in v] for a in v]
+    assert ORDER == 3 and np.allclose(kernel(words, words), want, rtol=1e-4)
+    long = bytes(range(97, 123)) * 3
+    assert cut(b"short") == [b"short"] and set(b"".join(cut(long))) == set(long) and cut(long)[-1].endswith(long[-5:])
+
+
 def test_gaps_are_tolerated():
     import pyarrow as pa
 
