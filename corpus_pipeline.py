@@ -46,8 +46,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: pieces of documents in windows."""
-    return pack(docs, tokenizer_path())
+    """Operator 10: pieces of documents in windows, run by run of the training order that the mix was written in."""
+    return pack(docs, tokenizer_path(), ordered=True)
 
 
 STAGES = [("quality_rules", quality), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mix), ("packing", packed)]

@@ -6,6 +6,10 @@ first key, sorted by all keys, and a partition is cut into shards of ``SHARD_ROW
 read. The ranges come from the quantiles of all documents' keys; a key that fills several ranges (copies) is spread over
 them by a hash of id and text. Only a seed's own shard is searched.
 
+With ``ordered`` the rows' order is a training order that windows keep: partitions are runs of that order of about
+``PART_BYTES`` (at least twelve runs), lexically sorted and searched inside only, and sequence_id rises from run to run. The
+order is that of the files and of the rows in a file, as a sorted table is written.
+
 A shard indexes all words of its documents. BM25 weighs words by the whole corpus' document counts and mean length; counts
 are held by ``CELLS`` cells of word hashes, a table of fixed size that can overstate rare words' counts, never understate.
 A partition's token stream grows greedily: a seed opens a window, its unused neighbours follow in score order, the one
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .codec import WordIds, split
+from .rows import FILE, ROW, located
 from .textnp import U, Words, mix, slices, words_of
 from .workspace import stage
 
@@ -209,24 +214,33 @@ def cell_counts(found: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, ordered: bool = False) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # Files of a sorted table are numbered by partition; the number may outgrow its leading zeros.
+    place = [F.regexp_extract(FILE, r"part-(\d+)", 1).try_cast("bigint").alias("file"), FILE, ROW] if ordered else []
+    rows = (located(docs) if ordered else docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *place)
     found = surveyed(rows.select("text"))
     own = found.where("part < 0")
     n, words = own.agg(F.count(F.lit(1)), F.sum("n")).first()
     # About seven bytes a word; the number of partitions needs no more.
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), (words or 0) * 7 // PART_BYTES)
     shares = [i / parts for i in range(1, parts)]
-    bounds = own.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts))).first()[0] or []
+    bounds = [] if ordered else own.agg(F.percentile_approx("key", shares, max(10_000, 20 * parts))).first()[0] or []
     counts = cell_counts(found)
     shared = spark.sparkContext.broadcast((np.array(bounds, np.int64), counts, n, max(1.0, (words or 0) / max(1, n))))
 
+    def keyed(b):
+        return [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
+
+    def close_by(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, keyed(b))], ["id", "text", "k1", "k2"])
+
     def deal(batches):
         limits = shared.value[0]
         for b in batches:
-            keys = [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
+            keys = keyed(b)
             low, high = np.searchsorted(limits, keys[0]), np.searchsorted(limits, keys[0], "right")
             part = low + b.column(2).to_numpy() % (high - low + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), *map(pa.array, keys)], ["id", "text", "part", "k1", "k2"])
@@ -284,7 +298,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    spread = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1)).alias("spread")
-    dealt = rows.select("id", "text", spread).mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint")
-    close = dealt.repartitionById(parts, "part").sortWithinPartitions("k1", "k2", F.xxhash64("id", "text"), "id").select("id", "text")
+    if ordered:
+        dealt = rows.repartitionByRange(parts, "file", FILE, ROW).select("id", "text").mapInArrow(close_by, f"id {kind}, text string, k1 bigint, k2 bigint")
+    else:
+        spread = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1)).alias("spread")
+        dealt = rows.select("id", "text", spread).mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint").repartitionById(parts, "part")
+    close = dealt.sortWithinPartitions("k1", "k2", F.xxhash64("id", "text"), "id").select("id", "text")
     return close.mapInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("id", id_col)

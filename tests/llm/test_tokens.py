@@ -216,6 +216,32 @@ def test_pack_of_a_hot_key_is_spread(spark):
     assert len(copies) >= 6 and max(copies.values()) < 300
 
 
+def test_ordered_pack_keeps_the_training_order(spark, odd, nothing, tmp_path):
+    """Runs of the order follow one another in sequence_id, whatever the ids and the sizes of files are; tokens stay whole."""
+    r = random.Random(2)
+    ids = list(range(1200))
+    r.shuffle(ids)
+    text = {i: " ".join(r.choice(["tea", "cup", "sea", "sky"]) for _ in range(r.randrange(1, 40))) for i in ids}
+    at = 0
+    for file, n in ((9, 50), (99999, 700), (100000, 450)):
+        folder = str(tmp_path / str(file))
+        spark.createDataFrame([(i, text[i]) for i in ids[at : at + n]], "doc_id bigint, text string").coalesce(1).write.parquet(folder)
+        source = next((tmp_path / str(file)).glob("part-*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        source.rename(tmp_path / "all" / source.name.replace("part-00000", f"part-{file:05d}"))
+        at += n
+    got = pack(spark.read.parquet(str(tmp_path / "all")), PATH, window=64, ordered=True).collect()
+    assert sum(x.length for x in got) == sum(len(ids_of(t)) + 1 for t in text.values())
+    place = {i: k for k, i in enumerate(ids)}
+    runs: dict = {}
+    for x in got:
+        runs.setdefault(x.sequence_id >> 32, set()).add(place[x.doc_id])
+    in_order = [runs[k] for k in sorted(runs)]
+    assert len(in_order) >= 10 and all(max(a) < min(b) for a, b in zip(in_order, in_order[1:]))
+    assert pack(nothing, PATH, ordered=True).count() == 0
+    assert pack(odd, PATH, ordered=True).agg(F.sum("length")).first()[0] == sum(len(ids_of(x.text)) + 1 for x in odd.collect())
+
+
 def labelled(n=900, seed=5):
     r = random.Random(seed)
     syllables = "ba ko ti ren sol mar vin del tor pas".split()
