@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .codec import WordIds, split
@@ -44,6 +44,8 @@ CELLS = 1 << CELL_BITS
 CELL_RUN = 1 << 14
 #: Bytes of text of a partition.
 PART_BYTES = 32 << 20
+#: Files whose places in the order are broadcast (about 50 MB); beyond, rows meet them in a shuffle.
+MOST_FILES = 1 << 18
 SALTS = (0x1234567, 0x89ABCDEF01)
 K1, B = 1.2, 0.75
 _caches: dict[str, WordIds] = {}
@@ -214,12 +216,23 @@ def cell_counts(found: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def runs_of(rows: DataFrame, parts: int) -> DataFrame:
+    """Located rows with ``to``: which of ``parts`` equal runs of the order of files, then rows in a file, they are in.
+
+    Files of a sorted table are numbered by partition; the number may outgrow its leading zeros.
+    """
+    number = F.regexp_extract("p_file", r"part-(\d+)", 1).try_cast("bigint")
+    sizes = rows.groupBy(F.col(FILE).alias("p_file")).agg((F.max(ROW) + 1).alias("size"))
+    upto = F.sum("size").over(Window.orderBy(number, "p_file"))
+    files = stage(sizes.select("p_file", (upto - F.col("size")).alias("base"), F.sum("size").over(Window.partitionBy()).alias("all")), "packing-files")
+    side = F.broadcast(files) if files.count() <= MOST_FILES else files
+    return rows.join(side, F.col(FILE) == F.col("p_file")).withColumn("to", F.expr(f"(base + {ROW}) * {parts} div all"))
+
+
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES, ordered: bool = False) -> DataFrame:
     """One row per piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset)."""
     spark = docs.sparkSession
-    # Files of a sorted table are numbered by partition; the number may outgrow its leading zeros.
-    place = [F.regexp_extract(FILE, r"part-(\d+)", 1).try_cast("bigint").alias("file"), FILE, ROW] if ordered else []
-    rows = (located(docs) if ordered else docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *place)
+    rows = (located(docs) if ordered else docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *([FILE, ROW] if ordered else []))
     found = surveyed(rows.select("text"))
     own = found.where("part < 0")
     n, words = own.agg(F.count(F.lit(1)), F.sum("n")).first()
@@ -230,19 +243,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     counts = cell_counts(found)
     shared = spark.sparkContext.broadcast((np.array(bounds, np.int64), counts, n, max(1.0, (words or 0) / max(1, n))))
 
-    def keyed(b):
-        return [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
-
-    def close_by(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, keyed(b))], ["id", "text", "k1", "k2"])
-
     def deal(batches):
         limits = shared.value[0]
         for b in batches:
-            keys = keyed(b)
-            low, high = np.searchsorted(limits, keys[0]), np.searchsorted(limits, keys[0], "right")
-            part = low + b.column(2).to_numpy() % (high - low + 1)
+            keys = [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
+            part = b.column(2).to_numpy()
+            if not ordered:
+                low, high = np.searchsorted(limits, keys[0]), np.searchsorted(limits, keys[0], "right")
+                part = low + part % (high - low + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), *map(pa.array, keys)], ["id", "text", "part", "k1", "k2"])
 
     def shards(batches):
@@ -299,9 +307,9 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     kind = docs.schema[id_col].dataType.simpleString()
     if ordered:
-        dealt = rows.repartitionByRange(parts, "file", FILE, ROW).select("id", "text").mapInArrow(close_by, f"id {kind}, text string, k1 bigint, k2 bigint")
+        rows = runs_of(rows, parts)
     else:
-        spread = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1)).alias("spread")
-        dealt = rows.select("id", "text", spread).mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint").repartitionById(parts, "part")
-    close = dealt.sortWithinPartitions("k1", "k2", F.xxhash64("id", "text"), "id").select("id", "text")
+        rows = rows.withColumn("to", F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 31) - 1)))
+    dealt = rows.select("id", "text", "to").mapInArrow(deal, f"id {kind}, text string, part int, k1 bigint, k2 bigint")
+    close = dealt.repartitionById(parts, "part").sortWithinPartitions("k1", "k2", F.xxhash64("id", "text"), "id").select("id", "text")
     return close.mapInArrow(fill, f"id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint").withColumnRenamed("id", id_col)
