@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .rows import FILE, ROW, bitmaps, located, marked, without
-from .textnp import U, mix, slices, window_hashes, window_starts, words_of
+from .textnp import U, give_back, mix, slices, window_hashes, window_starts, words_of
 from .workspace import stage
 
 SHINGLE = 5
@@ -100,6 +100,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 posts = pa.ListArray.from_arrays(offsets, pa.array(s.ravel().view(np.int64)))
                 place = [b.column(i).slice(at, to - at) for i in (2, 3)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), pa.array(n.astype(np.int64)), *map(pa.array, sums), posts, *place], ["id", "n_shingles", "k1", "k2", "posts", FILE, ROW])
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), FILE, ROW)
     return stage(rows.mapInArrow(make, f"id bigint, n_shingles bigint, k1 bigint, k2 bigint, posts array<bigint>, {FILE} string, {ROW} bigint"), "near-sketch")
@@ -246,6 +247,7 @@ def star_links(docs: DataFrame, reps: DataFrame, work: DataFrame, text_col: str,
                         n, both = np.diff(cuts), common(own, flat[begins[x] : begins[y]], cuts)
                         out += [(ids[at + x + i], key[0]) for i in np.flatnonzero(100 * both >= percent * (n + len(own) - both)).tolist()]
             yield _edges(out)
+        give_back()
 
     return stage(full.mapInArrow(confirm, "u bigint, v bigint"), "near-links")
 

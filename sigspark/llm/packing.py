@@ -24,6 +24,7 @@ any length are taken whole; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 
 from .codec import WordIds, split
 from .rows import FILE, ROW, located
-from .textnp import U, Words, mix, slices, words_of
+from .textnp import U, Words, give_back, mix, slices, words_of
 from .workspace import stage
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 1024, 16 << 20
+#: Bytes of text that a scan turns into words at a time.
+SURVEY_BYTES = 4 << 20
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
 CELL_RUN = 1 << 14
@@ -109,7 +112,13 @@ class Index:
 
 def words_in(texts: pa.Array) -> list[Words]:
     """Lower-case words of these texts, in parts of bounded size."""
-    return [words_of(data, offsets, lower=True) for _, _, data, offsets in slices(texts, SHARD_BYTES)]
+    return list(words_by(texts, SHARD_BYTES))
+
+
+def words_by(texts: pa.Array, size: int = SURVEY_BYTES) -> Iterator[Words]:
+    """The same, a part at a time: whole texts of about ``size`` bytes."""
+    for _, _, data, offsets in slices(texts, size):
+        yield words_of(data, offsets, lower=True)
 
 
 def documents_by_cell(w: Words) -> np.ndarray:
@@ -190,13 +199,14 @@ def surveyed(texts: DataFrame) -> DataFrame:
     def survey(batches):
         total = np.zeros(CELLS, np.int64)
         for b in batches:
-            for w in words_in(b.column(0)):
+            for w in words_by(b.column(0)):
                 total += documents_by_cell(w)
                 sizes = np.diff(w.first)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), -1, np.int32)), pa.nulls(len(sizes), pa.binary()), pa.array(sizes), pa.array(keys_of(w, SALTS[:1])[0])], ["part", "counts", "n", "key"])
         runs = total.astype(np.uint32).reshape(-1, CELL_RUN)
         has = np.flatnonzero(runs.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(has.astype(np.int32)), pa.array([runs[i].tobytes() for i in has], pa.binary()), pa.nulls(len(has), pa.int64()), pa.nulls(len(has), pa.int64())], ["part", "counts", "n", "key"])
+        give_back()
 
     return stage(texts.mapInArrow(survey, "part int, counts binary, n bigint, key bigint"), "packing-survey")
 
@@ -246,12 +256,13 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     def deal(batches):
         limits = shared.value[0]
         for b in batches:
-            keys = [np.concatenate(k) for k in zip(*map(keys_of, words_in(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
+            keys = [np.concatenate(k) for k in zip(*map(keys_of, words_by(b.column(1))))] if b.num_rows else [np.zeros(0, np.int64)] * len(SALTS)
             part = b.column(2).to_numpy()
             if not ordered:
                 low, high = np.searchsorted(limits, keys[0]), np.searchsorted(limits, keys[0], "right")
                 part = low + part % (high - low + 1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part.astype(np.int32)), *map(pa.array, keys)], ["id", "text", "part", "k1", "k2"])
+        give_back()
 
     def shards(batches):
         """Runs of rows of a partition that make a shard."""
@@ -274,36 +285,44 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             yield pa.Table.from_batches(held)
 
     def fill(batches):
+        at, batch = 0, None
+        for table in shards(batches):
+            batch, at = filled(table, at)
+            table = None
+            yield batch
+        batch = None
+        give_back()
+
+    def filled(table: pa.Table, at: int) -> tuple[pa.RecordBatch, int]:
+        """Pieces of a shard whose stream begins after ``at`` tokens of its partition, and where it ends."""
         cache = _caches.setdefault(path, WordIds(path))
         corpus = (shared.value[2], shared.value[3], shared.value[1])
         first = TaskContext.get().partitionId() << 32
-        at = 0
-        for table in shards(batches):
-            texts = table.column("text").cast(pa.large_string()).combine_chunks()
-            names = table.column("id").combine_chunks()
-            parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
-            for w in parts:
-                flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end_id)
-                ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
-            lengths = [len(x) for x in ids]
-            doc, start, length, crc, sequence, offset = [], [], [], [], [], []
-            code = names.dictionary_encode()
-            code = np.where(names.is_null().to_numpy(zero_copy_only=False), -1 - np.arange(len(names)), code.indices.fill_null(0).to_numpy(zero_copy_only=False))
-            for d in order_of(Index(parts, corpus=corpus), lengths, window, at, code):
-                done, own = 0, ids[d]
-                while done < lengths[d]:
-                    take = min(window - at % window, lengths[d] - done)
-                    doc.append(d)
-                    start.append(done)
-                    length.append(take)
-                    crc.append(zlib.crc32(own[done : done + take]))
-                    sequence.append(first | (at // window))
-                    offset.append(at % window)
-                    done, at = done + take, at + take
-            took = pa.array(doc, pa.int64())
-            tokens = pa.array(np.array(lengths, np.int64)[np.array(doc, np.int64)], pa.int64())
-            columns = [names.take(took), *(pa.array(x, pa.int64()) for x in (start, length, crc)), tokens, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        texts = table.column("text").cast(pa.large_string()).combine_chunks()
+        names = table.column("id").combine_chunks()
+        parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
+        for w in parts:
+            flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end_id)
+            ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+        lengths = [len(x) for x in ids]
+        doc, start, length, crc, sequence, offset = [], [], [], [], [], []
+        code = names.dictionary_encode()
+        code = np.where(names.is_null().to_numpy(zero_copy_only=False), -1 - np.arange(len(names)), code.indices.fill_null(0).to_numpy(zero_copy_only=False))
+        for d in order_of(Index(parts, corpus=corpus), lengths, window, at, code):
+            done, own = 0, ids[d]
+            while done < lengths[d]:
+                take = min(window - at % window, lengths[d] - done)
+                doc.append(d)
+                start.append(done)
+                length.append(take)
+                crc.append(zlib.crc32(own[done : done + take]))
+                sequence.append(first | (at // window))
+                offset.append(at % window)
+                done, at = done + take, at + take
+        took = pa.array(doc, pa.int64())
+        tokens = pa.array(np.array(lengths, np.int64)[np.array(doc, np.int64)], pa.int64())
+        columns = [names.take(took), *(pa.array(x, pa.int64()) for x in (start, length, crc)), tokens, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]), at
 
     kind = docs.schema[id_col].dataType.simpleString()
     if ordered:

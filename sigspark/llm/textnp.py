@@ -6,6 +6,7 @@ bytes and code points agree on word borders. Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,14 @@ SLICE = 1 << 20
 _tables: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Hand memory that finished work left free back to the system: idle workers live on beside other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     had = _tables.get(base)
     if had is None or len(had) < n:
