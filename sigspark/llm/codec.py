@@ -35,7 +35,8 @@ def tokenizer(path: str):
 
 
 def _plain(path: str):
-    """(encoder of already normal words split at spaces, which ids end a word), or None if the tokenizer isn't of that kind."""
+    """(encoder of already normal words split at spaces, as ``_spelled`` writes them, which ids end a word), or None if the
+    tokenizer isn't of that kind."""
     key = (path, "plain")
     if key not in _tokenizers:
         full = json.loads(tokenizer(path).to_str())
@@ -47,7 +48,7 @@ def _plain(path: str):
             from tokenizers.models import BPE
 
             full["normalizer"] = None
-            pre["pretokenizers"][0] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            full["pre_tokenizer"] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
             vocabulary = tokenizer(path).get_vocab(with_added_tokens=False)
             ends = np.zeros(max(vocabulary.values()) + 3, bool)
             ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -57,6 +58,23 @@ def _plain(path: str):
     return _tokenizers[key]
 
 
+def _byte_table() -> np.ndarray:
+    """The character that byte-level vocabularies write for each byte; the space, at which words are split, stays."""
+    out = np.arange(256, dtype="<u4")
+    odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    out[odd] = 256 + np.arange(len(odd))
+    out[32] = 32
+    return out
+
+
+BYTE_CHARS = _byte_table()
+
+
+def _spelled(words: np.ndarray) -> str:
+    """Bytes of words joined by spaces as the vocabulary writes them: what its ByteLevel step would do, in one go."""
+    return BYTE_CHARS[words].tobytes().decode("utf-32-le")
+
+
 def _pieces(ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     raw, at = ids.astype("<u4").tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
     return [raw[a:b] for a, b in zip(at, at[1:])]
@@ -73,7 +91,7 @@ def _by_offsets(path: str, texts: list[str]) -> list[bytes]:
 def _words(path: str, texts: list[str]) -> list[bytes]:
     """Ids of each word, all of plain lower-case letters: each is one pre-token, so an id that ends a word ends a chunk."""
     encoder, ends = _plain(path)
-    ids = np.array(encoder.encode_batch_fast([" ".join(texts)], add_special_tokens=False)[0].ids, np.uint32)
+    ids = np.array(encoder.encode_batch_fast([_spelled(np.frombuffer(" ".join(texts).encode(), np.uint8))], add_special_tokens=False)[0].ids, np.uint32)
     cuts = np.flatnonzero(ends[ids]) + 1
     return _pieces(ids, cuts[:-1]) if len(cuts) == len(texts) else _by_offsets(path, texts)
 
@@ -190,17 +208,37 @@ def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     return upto[inner] - upto[starts] == inner - starts, marked
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """These words alone, a space behind each: bytes, first bytes and ends."""
+    size = ends - starts
+    upto = np.cumsum(size + 1)
+    begins = upto - size - 1
+    out = np.full(int(upto[-1]) if len(upto) else 0, 32, np.uint8)
+    before = np.cumsum(size) - size
+    at = np.arange(int(size.sum()))
+    out[np.repeat(begins - before, size) + at] = data[np.repeat(starts - before, size) + at]
+    return out, begins, begins + size
+
+
 class WordIds:
-    """Ids of words by hash, as arrays: no object is made for a plain word. At most ``most`` words are held."""
+    """Ids of words by hash, as arrays: no object is made for a plain word. At most ``most`` words are held, or the words
+    of one call; where they overflow, those stay that were asked for again since they came or since the last overflow."""
 
     def __init__(self, path: str, most: int = CACHED):
         self.path, self.most, self.other = path, most, ChunkCache(path, as_ids=True)
-        self._clear()
+        self._keep(np.zeros(0, np.int64))
 
-    def _clear(self) -> None:
-        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = [np.zeros(0, np.uint32)]
-        self.used = 0
+    def _keep(self, some: np.ndarray) -> None:
+        """Hold these of the words only."""
+        if not len(some):
+            self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.pool = [np.zeros(0, np.uint32)]
+        else:
+            self.hashes, at, self.size = self.hashes[some], self.at[some], self.size[some]
+            self.at = np.cumsum(self.size) - self.size
+            self.pool = [self.flat()[np.repeat(at - self.at, self.size) + np.arange(int(self.size.sum()))]]
+        self.again = np.zeros(len(some), bool)
+        self.used = len(self.pool[0])
 
     def flat(self) -> np.ndarray:
         if len(self.pool) > 1:
@@ -210,16 +248,19 @@ class WordIds:
     def places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first place in flat(), number of ids) of each of these words, whose hashes are sorted and differ."""
         if len(self.hashes) + len(hashes) > self.most:
-            self._clear()
+            some = np.flatnonzero(self.again)
+            self._keep(some if len(some) + len(hashes) <= self.most else some[:0])
         where = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
-        missing = np.flatnonzero(self.hashes[where] != hashes) if len(self.hashes) else np.arange(len(hashes))
+        known = self.hashes[where] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        self.again[where[known]] = True
+        missing = np.flatnonzero(~known)
         if len(missing):
-            ids, size = self._encoded(data, starts[missing], ends[missing])
+            ids, size = self._encoded(*_joined(data, starts[missing], ends[missing]))
             at = self.used + np.cumsum(size) - size
             self.pool.append(ids)
             self.used += len(ids)
             into = np.searchsorted(self.hashes, hashes[missing])
-            self.hashes, self.at, self.size = (np.insert(a, into, b) for a, b in ((self.hashes, hashes[missing]), (self.at, at), (self.size, size)))
+            self.hashes, self.at, self.size, self.again = (np.insert(a, into, b) for a, b in ((self.hashes, hashes[missing]), (self.at, at), (self.size, size), (self.again, False)))
             where = np.searchsorted(self.hashes, hashes)
         return self.at[where], self.size[where]
 
@@ -268,10 +309,7 @@ class WordIds:
     def _plain_ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids and their numbers of plain words without marks; None if an id that ends a word doesn't end each of them."""
         encoder, closes = _plain(self.path)
-        size = ends - starts
-        upto = np.cumsum(size + 1)
-        joined = np.full(int(upto[-1]), 32, np.uint8)
-        joined[np.repeat(upto - size - 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = data[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-        ids = np.array(encoder.encode_batch_fast([joined[:-1].tobytes().decode()], add_special_tokens=False)[0].ids, np.uint32)
+        joined = _joined(data, starts, ends)[0]
+        ids = np.array(encoder.encode_batch_fast([_spelled(joined[:-1])], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(closes[ids]) + 1
         return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(starts) and cuts[-1] == len(ids) else None

@@ -51,6 +51,11 @@ PART_BYTES = 32 << 20
 MOST_FILES = 1 << 18
 SALTS = (0x1234567, 0x89ABCDEF01)
 K1, B = 1.2, 0.75
+#: Words in more than one of ``COMMON`` documents of a shard are scored by matrix products, ``BLOCK`` words at a time, in
+#: shards of ``DENSE_ROWS`` rows at most.
+COMMON, BLOCK, DENSE_ROWS = 8, 512, 4096
+#: Weights are multiples of this and more than 0, so sums of them are exact in any order and no shared word is lost.
+GRAIN = 2.0**-32
 _caches: dict[str, WordIds] = {}
 
 
@@ -88,20 +93,41 @@ class Index:
             n, mean, counts = corpus
             count = np.maximum(df, counts[((key[first] >> U(64 - CELL_BITS))).astype(np.int64)])
         self.idf = np.log(1 + (n - count + 0.5) / (count + 0.5))
-        self.docs = owner.astype(np.int32)
-        self.weights = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
-        self.begin = np.append(first, len(term))
+        weights = np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[owner] / mean))
+        weights = np.maximum(np.round(weights / GRAIN), 1) * GRAIN
+        common = (df * COMMON > self.n) & (self.n <= DENSE_ROWS)
+        self.by_common = self._products(owner, weights, first, df, np.flatnonzero(common))
+        rare = np.repeat(~common, df)
+        owner, df = owner[rare], df[~common]
+        self.docs, self.weights = owner.astype(np.int32), weights[rare]
+        self.begin = np.concatenate(([0], np.cumsum(df)))
         by_doc = np.argsort(owner, kind="stable")
         self.entry = np.repeat(np.arange(len(df)), df)[by_doc]
         self.doc_begin = np.searchsorted(owner[by_doc], np.arange(self.n + 1))
 
+    def _products(self, owner: np.ndarray, weights: np.ndarray, first: np.ndarray, df: np.ndarray, common: np.ndarray) -> np.ndarray | None:
+        """Scores of each document (column) for these words of each (row)."""
+        if not len(common):
+            return None
+        out = np.zeros((self.n, self.n))
+        for at in range(0, len(common), BLOCK):
+            some = common[at : at + BLOCK]
+            n = df[some]
+            row = np.repeat(np.arange(len(some)), n)
+            place = np.arange(len(row)) + np.repeat(first[some] - np.cumsum(n) + n, n)
+            table = np.zeros((len(some), self.n))
+            table[row, owner[place]] = weights[place]
+            out += (table > 0).T.astype(np.float64) @ table
+        return out
+
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of each document for the words of this one."""
         e = self.entry[self.doc_begin[doc] : self.doc_begin[doc + 1]]
         size = self.begin[e + 1] - self.begin[e]
         upto = np.cumsum(size)
         at = np.repeat(self.begin[e] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)
-        return np.bincount(self.docs[at], self.weights[at], self.n)
+        rest = np.bincount(self.docs[at], self.weights[at], self.n)
+        return rest if self.by_common is None else rest + self.by_common[doc]
 
     def neighbours(self, doc: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a word, best first."""

@@ -62,6 +62,23 @@ def test_cache_stays_bounded():
         assert len(c.known) <= 131 and c.known[b"the"] == 1
 
 
+def test_words_that_come_again_outlive_an_overflow(monkeypatch):
+    """Words that were asked for again aren't encoded anew when a flood of others fills the cache; ids stay right."""
+    import pyarrow as pa
+
+    asked: list = []
+    encoded = WordIds._encoded
+    monkeypatch.setattr(WordIds, "_encoded", lambda self, data, starts, ends: asked.extend(bytes(data[a:b]) for a, b in zip(starts, ends)) or encoded(self, data, starts, ends))
+    cache, common = WordIds(PATH, most=100), ["the", "größe,", "it's", "日本語", "year"]
+    for k in range(20):
+        text = " ".join([*common, *("x" + "abcdefghij"[k % 10] * (k // 10 + 1) + chr(97 + i) + "é" * (i % 2) for i in range(20))])
+        [w] = words_in(pa.array([text]))
+        flat, begins = packed_ids(w, pa.array([text.encode()], pa.large_binary()), cache, 1)
+        assert flat[begins[0] : begins[1]].tolist() == [*ids_of(text), 1]
+        assert len(cache.hashes) <= 100
+    assert all(asked.count(w.encode()) == 1 for w in common)
+
+
 def test_counts(clashing, rows, odd, nothing):
     got = token_counts(clashing, PATH, limit=100)
     assert table(got) == sorted(((i, len((t or "").encode()), len(ids_of(t)), len(ids_of(t)) > 100) for i, t, *_ in rows), key=repr)
@@ -161,6 +178,25 @@ def test_bm25_against_brute_force():
         assert np.allclose(larger.scores(seed), brute_bm25(texts, 1000, more, 20.0, seed))
 
 
+def test_common_words_by_products_score_exactly_the_same(monkeypatch):
+    """Matrix products over several blocks give the bits that posting lists give, so copies tie exactly."""
+    import pyarrow as pa
+
+    from sigspark.llm import packing
+
+    r = random.Random(6)
+    texts = [" ".join(r.choice([f"w{int(r.paretovariate(0.4)) % 90}", f"v{r.randrange(400)}"]) for _ in range(r.randrange(0, 80))) for _ in range(150)]
+    parts = words_in(pa.array(texts + texts[:30]))
+    monkeypatch.setattr(packing, "BLOCK", 7)
+    some = Index(parts)
+    monkeypatch.setattr(packing, "DENSE_ROWS", 0)
+    none = Index(parts)
+    assert some.by_common is not None and none.by_common is None and 0 < len(some.docs) < len(none.docs)
+    for seed in range(180):
+        score = some.scores(seed)
+        assert (score == none.scores(seed)).all() and (score[:30] == score[150:]).all()
+
+
 def test_order_is_greedy():
     """The best unused neighbour of the window's seed follows; the document that crosses a window's end seeds the next."""
     import pyarrow as pa
