@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,7 @@ from .workspace import stage
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 1024, 16 << 20
-#: Bytes of text that a scan turns into words at a time.
+#: Bytes of text that are turned into words, or words into ids, at a time.
 SURVEY_BYTES = 4 << 20
 CELL_BITS = 20
 CELLS = 1 << CELL_BITS
@@ -326,10 +327,12 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         first = TaskContext.get().partitionId() << 32
         texts = table.column("text").cast(pa.large_string()).combine_chunks()
         names = table.column("id").combine_chunks()
-        parts, raw, ids = words_in(texts), texts.cast(pa.large_binary()), []
-        for w in parts:
+        parts, raw, ids = [], texts.cast(pa.large_binary()), []
+        for w in words_by(texts):
             flat, begins = ids_of(w, raw[len(ids) : len(ids) + len(w.first) - 1], cache, end_id)
             ids += [flat[a:b] for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
+            parts.append(replace(w, data=None, starts=None, ends=None))  # the index needs hashes only
+        w = None
         lengths = [len(x) for x in ids]
         doc, start, length, crc, sequence, offset = [], [], [], [], [], []
         code = names.dictionary_encode()
