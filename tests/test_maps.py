@@ -321,3 +321,25 @@ def test_byte_streams(spark, tmp_path):
     assert B.tee(seen.append)(b"q") == b"q" and seen == [b"q"]
     got = B.decoded(spark, [str(tmp_path / "z")], B.inflated, B.dos, B.segment(4), B.filtered("tr", "a-z", "A-Z"))
     assert [(r.line, r.value) for r in got.orderBy("line").collect()] == [(0, "TWO"), (1, "THREE")]
+
+
+def test_coded_columns():
+    import pyarrow as pa
+
+    from sigspark.sources import bytestreams as B
+
+    values = [b"", b"a", None, b"aa", b"a" * 255, b"a" * 256, b"ab" * 3, b"", b"b" * 1000, b"\x00", b"\xff\x00", None]
+    column = pa.array([b"before", *values, b"after"])[1:-1]
+    table = bytes(range(1, 256)) + b"\x00"
+    want = [b"", b"\x01a", None, b"\x02a", b"\xffa", b"\xffa\x01a", b"\x01a\x01b" * 3, b"", b"\xffb" * 3 + b"\xebb", b"\x01\x00", b"\x01\xff\x01\x00", None]
+    assert B.coded(B.run_length, column).to_pylist() == want  # no run goes on in the next record
+    for to, fro in ((B.run_length, B.from_run_length), (B.delta, B.from_delta), B.mapped(table)):
+        there = B.coded(to, column)
+        assert there.to_pylist() == [None if v is None else to(v) for v in values]
+        assert B.coded(fro, there).to_pylist() == values
+        assert B.coded(to, column[:0]).to_pylist() == []
+    with pytest.raises(ValueError):
+        B.coded(B.from_run_length, pa.array([b"abc", b"d"]))
+    for size in (1, 300, 1 << 20):
+        parts = [p.to_pylist() for p in B.pieces(column, size)]
+        assert sum(parts, []) == values and all(len(p) == 1 or sum(len(v or b"") for v in p) <= size for p in parts)

@@ -50,6 +50,56 @@ def test_iterable_has_all_types(spark, tmp_path):
     assert got == [(i, f"t{i:04d}", 1) for i in range(1500)]
 
 
+def _codec_check(monkeypatch, spark):
+    """What scl08_byte_codecs runs on the executors."""
+    from unittest.mock import MagicMock
+
+    from sigspark.plans import more_queries
+
+    table = MagicMock()
+    monkeypatch.setattr(more_queries, "_events", lambda *a: table)
+    more_queries.scl08_byte_codecs(spark, DATA)
+    return table.mapInArrow.call_args.args[0]
+
+
+def test_byte_codecs_take_no_step_a_row(spark, monkeypatch):
+    import sys
+
+    import pyarrow as pa
+
+    check = _codec_check(monkeypatch, spark)
+
+    def calls(n):
+        batch, seen = pa.RecordBatch.from_arrays([pa.array([f"type{i % 7}" for i in range(n)])], ["event_type"]), []
+        sys.setprofile(lambda frame, event, arg: seen.append(1) if event in ("call", "c_call") else None)
+        try:
+            list(check(iter([batch])))
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    calls(10)
+    assert calls(10_000) < 2 * calls(100)
+
+
+def test_byte_codecs_see_one_bad_row(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sigspark.plans import more_queries
+
+    monkeypatch.setattr(more_queries, "from_delta", more_queries.delta)
+    check = _codec_check(monkeypatch, spark)
+    found = [r for b in check(iter([pa.RecordBatch.from_arrays([pa.array(["", "click"])], ["event_type"])])) for r in b.to_pylist()]
+    assert {r["codec"] for r in found if not r["same"]} == {"delta"}
+
+
+@pytest.mark.parametrize("values", [[], [None], ["view", None, "", "é", "a" * 700, "aab", "b"]])
+def test_byte_codecs_odd_rows(spark, tmp_path, values):
+    spark.createDataFrame([(v,) for v in values], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = engine.queries()["scl08_byte_codecs"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [("delta", True), ("map", True), ("run length", True)]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
